@@ -3,8 +3,8 @@
 Headers alone are shuffled by payload digest to find, for each payload, the page that keeps it: the one with the largest
 id. The archives are then written with fresh headers, a response for that page and revisits that refer to it for the
 others, through Spark's own text writer: a WARC record ends with CRLF CRLF, which is that writer's line separator. So any
-file system that Spark reaches will do, and the commit protocol covers lost executors. Reading takes whole files (of
-max_records records) and goes from record to record by Content-Length.
+file system that Spark reaches will do, and the commit protocol covers lost executors. Files are compressed by gzip.
+Reading takes whole files (of max_records records) and goes from record to record by Content-Length.
 
 Null html is an empty payload, null ids are less than any other; rows with one id and one payload are all responses if
 that id is the largest."""
@@ -12,6 +12,7 @@ that id is the largest."""
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
@@ -110,7 +111,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, max_records: int = MA
         for batch in small_batches(batches, "html"):
             yield pa.RecordBatch.from_arrays([pa.array([record(p, u, h or "", d, r) for p, u, h, d, r in zip(*(c.to_pylist() for c in batch.columns))], pa.string())], names=["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", max_records).mode("overwrite").text(path)
+    rows.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max_records).mode("overwrite").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +122,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file in batch.column("content"):
                 rows = []
-                for head, content in parse(memoryview(file.as_py())):
+                for head, content in parse(memoryview(gzip.decompress(file.as_py()))):
                     own, response = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"] == "response"
                     size = None
                     if response:
