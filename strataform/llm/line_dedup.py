@@ -82,9 +82,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """_row (a struct of docs' columns as they were), _text without the later repeated runs, _lines, and _removed, the
     numbers (from 0) of the lines that went."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), F.split(text, "\n", -1).alias("_all"))
-    runs = repeated_runs(base.select(*_KEY, _items(F.col("_all")).alias("items")), min_words, noise_words).hint("shuffle_hash")
-    rows = base.join(runs, (base["_t"] == runs["_t"]) & base["_id"].eqNullSafe(runs["_id"]), "left").select("_row", "_all", "runs")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"))
+    lines = lambda t: F.split(F.coalesce(t, F.lit("")), "\n", -1)
+    items = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), _items(lines(F.col(text_col))).alias("items"))
+    runs = repeated_runs(items, min_words, noise_words).hint("shuffle_hash")
+    rows = base.join(runs, (base["_t"] == runs["_t"]) & base["_id"].eqNullSafe(runs["_id"]), "left").select("_row", lines(F.col(f"_row.`{text_col}`")).alias("_all"), "runs")
     nos = F.transform(F.filter(F.transform("_all", lambda x, i: F.struct(i.alias("no"), x.rlike("\\S").alias("some"))), lambda x: x["some"]), lambda x: x["no"])
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.slice("_nos", r["lo"] + 1, r["hi"] - r["lo"] + 1)))))
     rows = rows.withColumn("_nos", F.when(F.col("runs").isNotNull(), nos)).withColumn("_removed", F.coalesce(gone, F.array().cast("array<int>")))
