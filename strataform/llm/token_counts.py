@@ -16,7 +16,7 @@ from .bpe import default_path, encoder
 from .common import cut_lineage, small_batches
 
 #: Lengths that one window of the suffix sums spans.
-SPAN = 4096
+SPAN = 256
 
 
 def lengths(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
