@@ -1,11 +1,13 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations alone.
 
-Lines that aren't blank are hashed. From each line on, the shortest run of lines with noise_words words or more is a gram;
-the least gram of all that fit into the shortest run of min_words words or more is that window's fingerprint. So any run
-of min_words words that two places share has a common fingerprint. Each fingerprint position is joined to the first
-place of the corpus (in order of doc_id, then line) with the same fingerprint, with the same line before it as well, and
-with the same longer gram; there the match is extended line by line both ways. Matched runs of min_words words or more
-are deleted from the later place. Every deleted line has an equal one at an earlier place, so the first stays.
+Lines that aren't blank are hashed. From each line on, the shortest run of lines with noise_words words or more is a gram,
+and the shortest run of min_words words or more is a window; the least gram that fits into a window is its fingerprint. So
+any run of min_words words that two places share has a common fingerprint, and fingerprints that occur once are done with.
+The others are joined: around each, every window that has it is matched to the first place of the corpus (in order of
+doc_id, then line) with an equal window, which extends the match both ways. As the windows are shortest from each line on,
+and from each line back, every line of a repeated run of min_words words or more is in a window that repeats, whatever
+other contexts its fingerprint has. Matched windows are deleted from the later place. Every deleted line has an equal one
+at an earlier place, so the first stays.
 
 Null text counts as empty. Rows that repeat an id with equal text are one place and lose the same lines; blank lines stay.
 Only where all lines of a text go does it become empty."""
@@ -22,60 +24,50 @@ _KEY = ["_id", "_t"]
 
 
 def _items(lines: Column) -> Column:
-    """no, h, w of each line that isn't blank."""
-    every = F.transform(lines, lambda x, i: F.struct(i.alias("no"), F.xxhash64(x).alias("h"), F.size(F.regexp_extract_all(x, F.lit("\\S+"), F.lit(0))).alias("w")))
+    """h, h2 (two hashes), w of each line that isn't blank."""
+    every = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(2), x).alias("h2"), F.size(F.regexp_extract_all(x, F.lit("\\S+"), F.lit(0))).alias("w")))
     return F.filter(every, lambda x: x["w"] > 0)
 
 
 def fingerprints(lines: DataFrame, min_words: int, noise_words: int) -> DataFrame:
-    """_id, _t, pos and keys of the fingerprint positions; lines: _id, _t, pos, h, w."""
+    """_id, _t, pos, g (hash) of the fingerprints, and of the windows that have each: lo, hi (first and last line), k, k2
+    (hashes), arrays all; lines: _id, _t, pos (from 0), h, h2, w."""
     place = Window.partitionBy(*_KEY)
     before = place.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.select(*_KEY, "pos", "h", "w", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("at"), F.sum("w").over(place).alias("total"), F.lag("h").over(place.orderBy("pos")).alias("prior"))
+    rows = lines.select(*_KEY, "pos", "h", "h2", "w", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("at"), F.sum("w").over(place).alias("total")).where(F.col("total") >= min_words)
     gram = place.orderBy("at").rangeBetween(0, noise_words - 1)  # lines that start before noise_words words are over
-    longer = place.orderBy("at").rangeBetween(0, min_words - 1)
-    rows = rows.where(F.col("total") >= min_words)
-    rows = rows.select("*", F.xxhash64(F.collect_list("h").over(gram)).alias("g"), F.xxhash64(F.collect_list("h").over(longer), F.lit(2)).alias("g2"))
-    window = place.orderBy("at").rangeBetween(0, min_words - noise_words)
-    whole = F.col("total") - F.col("at") >= noise_words
-    keys = F.array(F.col("g"), F.xxhash64("g", "prior", F.lit(1)), F.col("g2"))
-    least = F.min(F.when(whole, F.struct("g", "pos", keys.alias("keys")))).over(window)
-    rows = rows.select(*_KEY, F.when(F.col("total") - F.col("at") >= min_words, least).alias("m")).where("m is not null")
-    return rows.select(*_KEY, F.col("m.pos").alias("pos"), F.col("m.keys").alias("keys")).dropDuplicates([*_KEY, "pos"])
-
-
-def _reach(a: Column, b: Column) -> Column:
-    """How many leading elements of two arrays are equal."""
-    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
-    stop = F.array_position(same, F.lit(False))
-    return F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
+    ahead = place.orderBy("at").rangeBetween(0, min_words - 1)
+    rows = rows.select("*", (F.col("at") + F.col("w")).alias("end"), F.xxhash64(F.collect_list("h").over(gram)).alias("g"), F.xxhash64(F.collect_list("h").over(ahead)).alias("k"), F.xxhash64(F.collect_list("h2").over(ahead)).alias("k2"), F.max("pos").over(ahead).alias("hi"))
+    fits = place.orderBy("at").rangeBetween(0, min_words - noise_words)
+    least = F.min(F.when(F.col("total") - F.col("at") >= noise_words, F.struct("g", "pos"))).over(fits)
+    rows = rows.select("*", F.when(F.col("total") - F.col("at") >= min_words, least).alias("m"))
+    rows = rows.select("*", F.struct(*[F.lead(c).over(place.orderBy("at")).alias(c) for c in ("m", "hi", "pos")]).alias("next"))
+    # windows from each line back: the line before it is the last that ends min_words words earlier
+    back = place.orderBy("end").rangeBetween(-(min_words - 1), 0)
+    so_far = place.orderBy("end").rangeBetween(Window.unboundedPreceding, -min_words)
+    start = F.coalesce(F.last("next").over(so_far), F.first(F.struct("m", "hi", "pos")).over(place.orderBy("end").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.select("*", start.alias("s"), F.xxhash64(F.collect_list("h").over(back)).alias("bk"), F.xxhash64(F.collect_list("h2").over(back)).alias("bk2"))
+    forward = F.when(F.col("m").isNotNull(), F.struct("m", F.col("pos").alias("lo"), "hi", "k", "k2"))
+    backward = F.when((F.col("end") >= min_words) & (F.col("s.hi") != F.col("pos")), F.struct(F.col("s.m").alias("m"), F.col("s.pos").alias("lo"), F.col("pos").alias("hi"), F.col("bk").alias("k"), F.col("bk2").alias("k2")))
+    rows = rows.select(*_KEY, F.explode(F.array_compact(F.array(forward, backward))).alias("x"))
+    rows = rows.select(*_KEY, F.col("x.m.pos").alias("pos"), F.col("x.m.g").alias("g"), "x.lo", "x.hi", "x.k", "x.k2")
+    return rows.groupBy(*_KEY, "pos").agg(F.first("g").alias("g"), *[F.collect_list(c).alias(c) for c in ("lo", "hi", "k", "k2")])  # one row feeds all four lists
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, noise_words: int = NOISE_WORDS) -> DataFrame:
-    """_id, _t and runs (array of struct<lo, hi>, numbers of lines that aren't blank) to delete; docs: _id, _t, items."""
-    lined = cut_lineage(docs.select(*_KEY, F.transform("items", lambda x: x["h"]).alias("h"), F.transform("items", lambda x: x["w"]).alias("w")).dropDuplicates(_KEY))
-    lines = lined.select(*_KEY, F.posexplode(F.arrays_zip("h", "w")).alias("pos", "x")).select(*_KEY, "pos", "x.h", "x.w")
+    """_id, _t and runs (array of struct<lo, hi>, numbers of lines that aren't blank) to delete, each line in one run at
+    most; docs: _id, _t, items."""
+    hashes = [F.transform("items", lambda x: x["h"]).alias("h"), F.transform("items", lambda x: x["h2"]).alias("h2"), F.transform("items", lambda x: x["w"]).alias("w")]
+    lines = docs.select(*_KEY, *hashes).dropDuplicates(_KEY).select(*_KEY, F.posexplode(F.arrays_zip("h", "h2", "w")).alias("pos", "x")).select(*_KEY, "pos", "x.h", "x.h2", "x.w")
     prints = cut_lineage(fingerprints(lines, min_words, noise_words))
-    prints = prints.select(*_KEY, "pos", F.explode("keys").alias("key"))
-    first = prints.groupBy("key").agg(F.min(F.struct(*_KEY, "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = prints.join(first, "key").where(F.struct(*_KEY, "pos") > F.col("f"))
-    matches = later.select(*_KEY, "pos", F.col("f._id").alias("_aid"), F.col("f._t").alias("_at"), (F.col("pos") - F.col("f.pos")).alias("off"))
-    matches = matches.groupBy(*_KEY, "_aid", "_at", "off").agg(F.collect_set("pos").alias("places"))  # places of one text
-    anchors = lined.select(F.col("_id").alias("_aid"), F.col("_t").alias("_at"), F.col("h").alias("ah"))
-    rows = matches.join(lined, (matches["_t"] == lined["_t"]) & matches["_id"].eqNullSafe(lined["_id"])).select(matches["_id"], matches["_t"], "_aid", "_at", "off", "places", "h", "w")
-    rows = rows.join(anchors, (rows["_at"] == anchors["_at"]) & rows["_aid"].eqNullSafe(anchors["_aid"])).select("_id", "_t", "off", "places", "h", "w", "ah")
-
-    def run(p: Column) -> Column:
-        here, there = p + 1, p - F.col("off") + 1  # from 1
-        rest = lambda array, start: F.slice(array, start, F.greatest(F.size(array) - start + 1, F.lit(0)))
-        ahead = _reach(rest(F.col("h"), here), rest(F.col("ah"), there))
-        back = _reach(F.reverse(F.slice("h", 1, here - 1)), F.reverse(F.slice("ah", 1, there - 1)))
-        return F.struct((p - back).alias("lo"), (p + ahead - 1).alias("hi"))
-
-    runs = F.array_distinct(F.transform("places", run))
-    words = lambda r: F.aggregate(F.slice("w", r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0), lambda s, x: s + x)
-    rows = rows.select(*_KEY, F.explode(F.filter(runs, lambda r: words(r) >= min_words)).alias("r"))
-    return rows.groupBy(*_KEY).agg(F.collect_set("r").alias("runs"))
+    repeated = prints.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    windows = prints.join(repeated, "g").select(*_KEY, F.explode(F.arrays_zip("lo", "hi", "k", "k2")).alias("x")).select(*_KEY, "x.lo", "x.hi", "x.k", "x.k2")
+    first = windows.groupBy("k", "k2").agg(F.min(F.struct(*_KEY, "lo")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = windows.join(first, ["k", "k2"]).where(F.struct(*_KEY, "lo") > F.col("f"))
+    runs = later.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"))  # windows of one text
+    # in order of their first lines windows never end earlier than the one before, so each adds what lies beyond that
+    added = F.transform("runs", lambda r, i: F.struct(F.when(i > 0, F.greatest(r["lo"], F.get("runs", i - 1)["hi"] + 1)).otherwise(r["lo"]).alias("lo"), r["hi"].alias("hi")))
+    return runs.select(*_KEY, F.filter(added, lambda r: r["lo"] <= r["hi"]).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, noise_words: int = NOISE_WORDS) -> DataFrame:

@@ -161,6 +161,17 @@ def test_line_dedup_against_brute_force(spark):
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_among_many_contexts(spark, seed):
+    """Few lines, short and long, in every order: a fingerprint has many contexts, and runs end at any line."""
+    noise = random.Random(seed)
+    lines = [" ".join(f"z{k}x{i}" for i in range(n)) for k, n in enumerate((1, 2, 3, 8, 13, 26, 30, 49, 50))]
+    texts = [(i, "\n".join(noise.choices([*lines, ""], weights=[6, 6, 5, 5, 4, 3, 2, 1, 0.3, 2], k=noise.randrange(1, 25)))) for i in range(60)]
+    got = {r.doc_id: set(r.removed) for r in line_dedup.report(make(spark, texts)).collect()}
+    want = brute_lines(texts)
+    assert sum(map(len, want.values())) > 20 and {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
 def test_line_dedup_rewrite(spark):
     line = " ".join(f"u{i}" for i in range(60))
     rows = clashing(spark, [(1, f"head\n{line}"), (2, f"{line}\n\ntail"), (3, line), (4, None), (None, line)])
