@@ -32,6 +32,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 SKIP_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs captcha comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus dropdown footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination paywall popup promo promotion recommended related replies reply respond search share sharing sidebar signup sitemap skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
 )
+#: Before such a word they say what the layout around them has, as in no-sidebar or has_banner.
+LAYOUT_WORDS = frozenset("has have hide no non not with without".split())
 STOP_WORDS = frozenset(
     (
         "a about after all also an and any are as at be because been before but by can could did do does for from had has have he her his how i if in into is it its more most no not of on one only or other our out she should so some such than that the their them then there these they this to was we were what when where which who will with would you your "
@@ -72,8 +74,10 @@ def hidden(attributes: str) -> bool:
     for m in _NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
-            if not SKIP_WORDS.isdisjoint(_WORD.findall(value)):
-                return True
+            for part in value.split():
+                words = _WORD.findall(part)
+                if any(w in SKIP_WORDS and v not in LAYOUT_WORDS for v, w in zip(["", *words], words)):
+                    return True
         elif name == "hidden" and not attributes[max(0, m.start() - 1)] in "-\"'" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
     return False

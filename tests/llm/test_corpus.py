@@ -287,6 +287,8 @@ def test_html():
     assert html_extract.extract(page) == "The title\n\nIt is the first & the best of all that was été. Next\n\nShort."
     plain = "<div><a href=a>one</a> <a href=b>two</a></div><p>" + "This is the text of a page that has no marks, and it is long enough to be kept in the end. " * 3 + "</p><p>Short too.</p>"
     assert html_extract.extract(plain).endswith("in the end.\n\nShort too.") and "one" not in html_extract.extract(plain)
+    wrapped = html_extract.extract(f'<div id="page" class="layout no-sidebar has_banner">{plain}<div class="left sidebar">{plain}</div></div>')
+    assert wrapped == html_extract.extract(plain)
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<p") == ""
 
 
