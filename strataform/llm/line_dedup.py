@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, salts
 
 MIN_WORDS, NOISE_WORDS = 50, 25
 _KEY = ["_id", "_t"]
@@ -62,8 +62,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, noise_words: int
     prints = cut_lineage(fingerprints(lines, min_words, noise_words))
     repeated = prints.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
     windows = prints.join(repeated, "g").select(*_KEY, F.explode(F.arrays_zip("lo", "hi", "k", "k2")).alias("x")).select(*_KEY, "x.lo", "x.hi", "x.k", "x.k2")
-    first = windows.groupBy("k", "k2").agg(F.min(F.struct(*_KEY, "lo")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["k", "k2"]).where(F.struct(*_KEY, "lo") > F.col("f"))
+    # equal windows of a large group of copies are dealt by salt, so no task gets them all; first goes to the salts that are there
+    windows = windows.withColumn("salt", F.pmod(F.xxhash64(*_KEY, "lo"), F.lit(salts(docs.sparkSession))).cast("int"))
+    first = windows.groupBy("k", "k2").agg(F.min(F.struct(*_KEY, "lo")).alias("f"), F.count(F.lit(1)).alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
+    first = first.select("k", "k2", "f", F.explode("salts").alias("salt"))
+    later = windows.join(first, ["k", "k2", "salt"]).where(F.struct(*_KEY, "lo") > F.col("f"))
     runs = later.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"))  # windows of one text
     # in order of their first lines windows never end earlier than the one before, so each adds what lies beyond that
     added = F.transform("runs", lambda r, i: F.struct(F.when(i > 0, F.greatest(r["lo"], F.get("runs", i - 1)["hi"] + 1)).otherwise(r["lo"]).alias("lo"), r["hi"].alias("hi")))
