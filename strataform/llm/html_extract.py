@@ -7,6 +7,10 @@ and blocks inside an article without stop words, are ambiguous. In the second, a
 nearest decided neighbours (good if they differ inside an article, bad elsewhere). If a page marks its article (article,
 main, role main), blocks outside it are bad.
 
+A part ends where HTML ends it: at its end tag, at a tag that implies it (a p at the next p or table, a li at the next li), or
+at the end of an element around it. Inside an article, ids of headings and sections name what they are about (id="search"),
+so only their class and role mark them as other than main text; ids of sections beside an article in a main still count.
+
 Null and empty pages give an empty string. White space inside a block becomes one space; blocks are joined by an empty line."""
 
 from __future__ import annotations
@@ -42,6 +46,30 @@ STOP_WORDS = frozenset(
         "al como con cuando de del desde donde el ella en entre era es esta este fue ha hasta hay la las lo los más me mi muy nada no nos o para pero por porque que quien se ser si sin sobre su sus también te tiene todo un una y ya"
     ).split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Their end tags leave elements open that were opened inside them.
+FORMATTING = frozenset("a b big code em font form i nobr s small strike strong tt u".split())
+_HEAD = frozenset("base link meta noframes noscript script style template title".split())
+#: End tags, and tags that imply an end, don't act beyond these.
+_SCOPE = frozenset("applet caption marquee object select table td template th".split())
+_BOUNDED = BLOCK_TAGS | _SCOPE | frozenset("button dialog hgroup search".split())
+_ROWS = frozenset("caption colgroup tbody td tfoot th thead tr".split())
+_TABLE = frozenset(("table", "template"))
+_ENDS_P = BLOCK_TAGS - _ROWS - frozenset("body head html legend noscript optgroup option title".split()) | frozenset("dialog hgroup search".split())
+_DEFINED, _CELLS = frozenset(("dd", "dt")), frozenset(("td", "th"))
+_ITEM_BOUNDS = _BOUNDED - frozenset("address div p".split())
+#: For a start tag: the elements that it ends, and the bounds.
+_IMPLIED = {
+    "li": (frozenset(["li"]), _ITEM_BOUNDS - {"li"}), "dd": (_DEFINED, _ITEM_BOUNDS - _DEFINED), "dt": (_DEFINED, _ITEM_BOUNDS - _DEFINED),
+    "option": (frozenset(["option"]), _SCOPE | {"optgroup"}), "optgroup": (frozenset(["option", "optgroup"]), _SCOPE),
+    "td": (_CELLS, _TABLE | {"tr"}), "th": (_CELLS, _TABLE | {"tr"}), "tr": (_ROWS - {"tbody", "thead", "tfoot"}, _TABLE | {"tbody", "thead", "tfoot"}),
+    "button": (frozenset(["button"]), _SCOPE),
+    **dict.fromkeys("caption colgroup tbody tfoot thead".split(), (_ROWS, _TABLE)),
+}
+#: For an end tag: the bounds, where they aren't those of its kind.
+_END_BOUNDS = {"p": _SCOPE | {"button"}, "li": _SCOPE | {"ol", "ul"}, "table": frozenset(["template"]), "template": frozenset(), **dict.fromkeys(_ROWS, _TABLE)}
+#: Deeper elements make the outermost be forgotten, which bounds the work for a tag; browsers nest no deeper either.
+_DEEPEST = 512
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -68,12 +96,79 @@ class Block:
     label: str = ""
 
 
-def hidden(attributes: str) -> bool:
+class Elements:
+    """The elements that are open, by name, and the place among them of the one that is left out (-1 for none)."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.skip = -1
+
+    def _find(self, ended: frozenset[str], bounds: frozenset[str], nearest: bool = False) -> int:
+        found = -1
+        for i in range(len(self.names) - 1, -1, -1):
+            if self.names[i] in ended:
+                found = i
+                if nearest:
+                    break
+            elif self.names[i] in bounds:
+                break
+        return found
+
+    def _cut(self, at: int) -> None:
+        if at >= 0:
+            del self.names[at:]
+            if self.skip >= at:
+                self.skip = -1
+
+    def imply(self, name: str) -> None:
+        """Ends what a start tag of that name ends."""
+        names = self.names
+        if not names:
+            return
+        if names[-1] == "head" and name not in _HEAD or names[-1] in HEADINGS and name in HEADINGS:
+            self._cut(len(names) - 1)
+        if name in _ENDS_P and "p" in names:
+            self._cut(self._find(frozenset(["p"]), _END_BOUNDS["p"]))
+        if name == "a":
+            self.end(name)
+        elif name in _IMPLIED:
+            self._cut(self._find(*_IMPLIED[name]))
+
+    def open(self, name: str) -> None:
+        self.names.append(name)
+        if len(self.names) > _DEEPEST:
+            at = 1 if self.skip == 0 else 0
+            del self.names[at]
+            self.skip -= self.skip > at
+
+    def end(self, name: str) -> bool:
+        """Takes an end tag; whether it ends an element that isn't inside the one left out, nor that one."""
+        names, skip = self.names, self.skip
+        ended = HEADINGS if name in HEADINGS else frozenset([name])
+        if name not in HEADINGS and name not in names:
+            return False
+        if skip >= 0 and name == names[skip]:
+            self._cut(self._find(ended, frozenset(), True))
+            return False
+        bounds = _END_BOUNDS.get(name) if name in _END_BOUNDS else _SCOPE if name in _BOUNDED or name in FORMATTING else _BOUNDED
+        at = self._find(ended, bounds, True)
+        if at < 0:
+            return False
+        if name in FORMATTING:
+            del names[at]
+            self.skip = -1 if at == skip else skip - (skip > at)
+        else:
+            self._cut(at)
+        return at < skip
+
+
+def hidden(attributes: str, by_id: bool = True) -> bool:
+    """Whether the attributes mark a part without main text; its id counts only if by_id."""
     if not attributes or attributes.isspace():
         return False
     for m in _NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role"):
+        if name in ("class", "role") or name == "id" and by_id:
             for part in value.split():
                 words = _WORD.findall(part)
                 if any(w in SKIP_WORDS and v not in LAYOUT_WORDS for v, w in zip(["", *words], words)):
@@ -88,8 +183,8 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     links = articles = breaks = link_chars = 0
-    heading = False
-    skip, depth = "", 0
+    heading = seen = False
+    elements = Elements()
 
     def close() -> None:
         nonlocal link_chars, heading
@@ -102,7 +197,7 @@ def blocks(page: str) -> list[Block]:
 
     def data(text: str) -> None:
         nonlocal link_chars, breaks
-        if text and not skip:
+        if text and elements.skip < 0:
             parts.append(text)
             if not text.isspace():
                 breaks = 0
@@ -118,15 +213,19 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         name, closing, attributes = name.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 0 if attributes.endswith("/") else 1
-                if depth <= 0:
-                    skip = ""
+        empty = name in VOID_TAGS or attributes.endswith("/")
+        skipped, names = elements.skip, elements.names
+        if closing:
+            if not elements.end(name) and skipped >= 0:
                 continue
-            if closing or name not in ("article", "main") or skip == "template":
+        else:
+            if skipped >= 0 and name in ("article", "main") and names[skipped] != "template":
+                elements.skip = -1  # the part that should have ended before never did
+            elements.imply(name)
+            if not empty and name not in ("html", "body"):
+                elements.open(name)
+            if elements.skip >= 0:
                 continue
-            skip = ""  # the part that should have ended before never did
         if name in BLOCK_TAGS:
             close()
             breaks = 0
@@ -143,14 +242,14 @@ def blocks(page: str) -> list[Block]:
             elif name[0] == "h" and name[1:].isdigit():
                 heading = False
             continue
-        if name in VOID_TAGS or attributes.endswith("/"):
-            continue
-        if name in ("html", "body"):
+        if empty or name in ("html", "body"):
             continue
+        subject = heading or name in HEADINGS or name == "section" and ("article" in names or not seen)
+        seen = seen or name == "article"
         main = name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", attributes)
-        if not main and (name in SKIP_TAGS or name == "header" and not articles or hidden(attributes)):
+        if not main and (name in SKIP_TAGS or name == "header" and not articles or hidden(attributes, not (articles and subject))):
             close()
-            skip, depth = name, 1
+            elements.skip = len(names) - 1
         elif name == "a":
             links += 1
         elif name in ("article", "main"):

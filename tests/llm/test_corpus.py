@@ -292,6 +292,35 @@ def test_html():
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<p") == ""
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p class="ad">Buy<p>Text one.</p><p>Text two.</p></article>', "Text one.\n\nText two."),
+        ('<article><p class="ad">Buy<h2>Title</h2><p>Text.</article>', "Title\n\nText."),
+        ('<article><ul><li>One.<li class="share">Tell<ul><li>Us<li>Them</ul><li>Two.</ul><p>Text.</article>', "One.\n\nTwo.\n\nText."),
+        ('<article><ul><li class="share">Tell</ul><p>Text.</article>', "Text."),
+        ('<article><dl><dt class="ad">Buy<dd>Meaning.<dd class="ad">Now<dt>Word.</dl></article>', "Meaning.\n\nWord."),
+        ('<article><table><tr><td class="ad">Buy<td>Cell one.<tr class="promo"><td>Now<tr><td>Cell two.</table><p>Text.</article>', "Cell one.\n\nCell two.\n\nText."),
+        ('<article><table><tr><td class="ad">Buy<table><tr><td>Now</table>Still</table><p>Text.</article>', "Text."),
+        ('<article><div><span class="ad">Buy</div><p>Text.</article>', "Text."),
+        ('<article><p class="ad">Buy <a href=x>now</a> or <b>later</b><br>Soon</p><p>Text.</article>', "Text."),
+        ('<article><a href=x><div class="ad">Buy</a> now</div><p>Text of it.</p></article>', "Text of it."),
+        ('<article><div class="ad"><p>Buy<p>Now<div>Here</div></p></div><p>Text.</article>', "Text."),
+        ("<head><title>t</title><body><p>" + "It is the text of a page that has no end of its head. " * 4, ("It is the text of a page that has no end of its head. " * 4).strip()),
+        ('<article><h2 id="search">Search</h2><h3><span id="share">Share</span></h3><section id="related-work"><p>Text.</section></article>', "Search\n\nShare\n\nText."),
+        ('<article><section class="related"><p>More</section><h2 class="ad">Buy</h2><div id="comments">Nice</div><p>Text.</article>', "Text."),
+        ('<main><article><p>Text.</article><section id="comments"><p>Nice</section></main>', "Text."),
+    ],
+)
+def test_html_parts_end_where_they_should(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_html_deep():
+    deep = '<article><p class="ad">Buy<object>' + "<b><div>" * 20_000 + "x</object><p>Text.</article>"
+    assert html_extract.extract(deep).endswith("Text.")
+
+
 def test_html_table(spark):
     rows = html_extract.extract_text(spark.createDataFrame([(1, "u", None), (2, None, "<article><p>Ok é</p></article>")], "page_id long, url string, html string")).collect()
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in rows] == [(1, "u", "", 0), (2, None, "Ok é", 4)]
