@@ -5,7 +5,7 @@ footers, sidebars, forms, adverts, notices and reader comments, known by tag, ro
 pass classifies each block by its length, link density and stop-word density as good, bad, or ambiguous; short blocks,
 and blocks inside an article without stop words, are ambiguous. In the second, an ambiguous block takes the label of its
 nearest decided neighbours (good if they differ inside an article, bad elsewhere). If a page marks its article (article,
-main, role main), blocks outside it are bad.
+main, role main), blocks outside it are bad, and inside it the link density alone decides: ambiguous blocks end good.
 
 A part ends where HTML ends it: at its end tag, at a tag that implies it (a p at the next p or table, a li at the next li), or
 at the end of an element around it. Inside an article, ids of headings and sections name what they are about (id="search"),
