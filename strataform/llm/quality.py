@@ -4,7 +4,10 @@ A linear model on statistics of the text minimises the non-negative unbiased ris
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 with logistic loss, over trusted positives P and unlabelled documents U. The prior is the share of label 1 among all
 training labels where they hold both labels, else what a probe that tells P from U gives (its mean score over U by that
-over P). Fitting takes bounded samples of P and U, chosen by hash; the scores cover every whole text.
+over P). Centre and scale of the features come
+from all documents; fitting takes bounded samples of P and U, chosen by hash; U
+are labelled rows whatever their label where both labels occur, as the prior is a share of these, else any documents. The
+scores cover every whole text.
 
 Null text counts as empty. Documents whose ids repeat are scored each by itself; labels that disagree about one id count
 as label 0; null labels don't count."""
@@ -86,12 +89,14 @@ def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, decay: fl
     return w[:-1], float(w[-1])
 
 
-def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 400) -> Model:
-    """The model for features of both samples; no positives: a model that rejects nothing."""
+def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 400, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """The model for features of both samples, with the moments of all documents or else of the samples; no positives: a
+    model that rejects nothing."""
     both = np.concatenate([positives, unlabelled]).astype(np.float64)
     if not len(positives) or not len(unlabelled):
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(3 * N_FEATURES), 1.0, 1.0)
-    model = Model(both.mean(0), np.maximum(both.std(0), 1e-3), np.zeros(3 * N_FEATURES), 0.0, prior or 1.0)
+    center, scale = moments or (both.mean(0), both.std(0))
+    model = Model(center, np.maximum(scale, 1e-3), np.zeros(3 * N_FEATURES), 0.0, prior or 1.0)
     xp, xu = model.inputs(positives.astype(np.float64)), model.inputs(unlabelled.astype(np.float64))
     if prior is None:
         w, b = _descend(xp, xu, 0.5, steps // 2)
@@ -119,6 +124,27 @@ def _collect_features(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([r._kind for r in rows], np.int64)
 
 
+def feature_moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature over all rows, rounded so that no order of summing shows; a task sends one row
+    for each feature."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, square = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+        for batch in small_batches(batches, "text"):
+            x = features(*text_buffer(batch.column("text"))).astype(np.float64)
+            step, own = x.mean(0) - mean, n + len(x)
+            square += ((x - x.mean(0)) ** 2).sum(0) + step**2 * (n * len(x) / own)
+            mean, n = mean + step * (len(x) / own), own
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(N_FEATURES), pa.int32()), pa.array([n] * N_FEATURES, pa.int64()), pa.array(mean), pa.array(square)], names=["i", "n", "mean", "square"])
+
+    parts = docs.select("text").mapInArrow(run, "i int, n long, mean double, square double")
+    rows = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum(F.col("square") + F.col("n") * F.col("mean") ** 2).alias("q")).orderBy("i").collect()
+    n, s, q = (np.array([r[k] for r in rows], np.float64) for k in ("n", "s", "q"))
+    rounded = lambda x: x.astype(np.float32).astype(np.float64)
+    return rounded(s / n), rounded(np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)))
+
+
 def train(docs: DataFrame, labels: DataFrame, allowed: Callable[[Column], Column] | None = None, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality") -> Model:
     """A model from the labels whose ids allowed() takes (all by default) and the documents' texts."""
     own = labels.select(F.col(label_id).alias("_id"), F.col(label_col).alias("_label")).where("_id is not null and _label is not null")
@@ -130,13 +156,16 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Callable[[Column], Column
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     order = F.xxhash64("_id")
     sample_p = own.where("_label = 1").orderBy(order, "_id").limit(max_positives).select("_id", F.lit(1).alias("_kind"))
-    sample_u = texts.select("_id").where("_id is not null").distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(max_unlabelled).select("_id", F.lit(0).alias("_kind"))
+    # the prior is a share of labelled rows, so where it is known the sample is of these, whatever their labels
+    ids = own if prior is not None else texts.where("_id is not null")
+    sample_u = ids.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(max_unlabelled).select("_id", F.lit(0).alias("_kind"))
     # at most max_positives + max_unlabelled ids are broadcast
     chosen = cut_lineage(sample_p.unionByName(sample_u))
     x, kind = _collect_features(texts.join(F.broadcast(chosen), "_id"))
     order = np.lexsort(np.concatenate([x.T, kind[None]])) if len(x) else np.zeros(0, np.int64)  # any order of rows gives one model
     x, kind = x[order], kind[order]
-    return fit(x[kind == 1], x[kind == 0], prior)
+    some = (kind == 1).any() and (kind == 0).any()
+    return fit(x[kind == 1], x[kind == 0], prior, moments=feature_moments(texts) if some else None)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -326,6 +326,24 @@ def test_html_table(spark):
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in rows] == [(1, "u", "", 0), (2, None, "Ok é", 4)]
 
 
+def test_quality_moments_of_all_documents(spark):
+    docs = corpus(300)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    x = quality.features(*quality.text_buffer(pa.array([t for _, t in docs]))).astype(np.float64)
+    for parts in (1, 5):
+        model = quality.train(make(spark, docs).repartition(parts), labels, max_positives=9, max_unlabelled=11)
+        assert np.allclose(model.center, x.mean(0), atol=1e-5) and np.allclose(model.scale, np.maximum(x.std(0), 1e-3), atol=1e-5)
+
+
+def test_quality_samples(spark, monkeypatch):
+    sizes, docs, fit = [], make(spark, [(i, f"the text {i}") for i in range(200)]), quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, *a, **k: sizes.append((len(p), len(u))) or fit(p, u, *a, **k))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    quality.train(docs, labels.where("quality = 1"))
+    assert sizes == [(40, 60), (40, 200)]
+
+
 def test_quality(spark):
     noise = random.Random(1)
     good = lambda: " ".join(noise.choice("the of and house river walks slowly green".split()) for _ in range(40)) + "."
