@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataform.llm import bpe, chat, components, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, token_counts, warc
+from strataform.llm import bpe, chat, components, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, quality, token_counts, warc
 from strataform.llm.textvec import Words
 
 #: Names that operators use inside.
@@ -180,32 +180,6 @@ def test_line_dedup_rewrite(spark):
     assert line_dedup.report(make(spark, [])).count() == 0
 
 
-def test_packing(spark):
-    e = bpe.encoder(bpe.default_path())
-    texts = corpus(200) + [(900, "word " * 5000), (901, "word " * 1022)]
-    rows = packing.pack(clashing(spark, texts), island_rows=64).toPandas()
-    assert len(rows[rows.doc_id == 900]) == math.ceil(len(np.append(e.encode("word " * 5000), 2)) / 1024)
-    for _, own in rows.groupby("sequence_id"):
-        own = own.sort_values("offset")
-        assert own.length.sum() <= 1024 and own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]]
-    least = math.ceil(rows.length.sum() / 1024)
-    assert least <= rows.sequence_id.nunique() <= least + 1
-    for doc, text in ((900, "word " * 5000), (200, None)):
-        own = rows[rows.doc_id == doc].sort_values("piece")
-        ids = np.append(e.encode(text), 2).astype("<u4")
-        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own.start, own.length)] == own.ids_crc32.tolist() and own.length.tolist()[1:] == [1024] * (len(own) - 1)
-    assert packing.pack(make(spark, [])).count() == 0
-
-
-def test_crossover_keeps_every_item_once():
-    noise = random.Random(2)
-    sizes = [noise.randrange(1, 1025) for _ in range(300)]
-    best = packing.evolve(sizes, None, [[512, 512]], 1)
-    assert sorted(i for b in best.bins for i in b) == list(range(300)) and all(r >= 0 for r in best.room)
-    child = packing.crossover(best, best.bins[:5], noise)
-    assert sorted(i for b in child.bins for i in b) == list(range(300)) and child.bins[:5] == best.bins[:5]
-
-
 def brute_windows(docs, items):
     import re
 
