@@ -4,11 +4,13 @@
    class, represented by its least doc_id; only representatives go on.
 2. Bands of the signature give candidate buckets. In a bucket the further MinHash values of each pair are compared
    some at a time, and the pair is dropped once the posterior probability (uniform prior) that its similarity reaches
-   the threshold is below the tolerance. Buckets beyond bucket_rows are not compared here: all their members go on as one
-   candidate group.
+   the threshold is below the tolerance. The pairs of a bucket beyond bucket_rows are compared in the same way, but not in
+   one task: the group that crowded buckets hold together is cut into blocks, every pair of blocks is a task, and only
+   signatures travel. So what merely shares a common passage falls apart again.
 3. What is left joins into candidate groups. Each group is cut into blocks of bounded size, and every pair of blocks is a
    task: pairs that survive the same pruning are verified exactly on the n-gram sets, all at once by matrix products.
-   Tasks give, for each document, how many others it links to and one edge towards its component, never a row a pair.
+   Tasks give, for each document, how many others it links to and one edge towards its component, never a row a pair. A
+   group of n texts that really are alike needs its n * n / 2 comparisons, and each of its sets in n / block_rows tasks.
 4. The components of verified links are the classes of near duplicates.
 
 Words are runs of letters and digits in lower case; a text of fewer words than n is one n-gram, a text without words
@@ -24,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, small_batches, text_buffer
@@ -36,6 +38,7 @@ N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 20, 3
 #: MinHash values that are compared after the bands, and how many at a time.
 COMPARED, STEP = 64, 16
+#: Members of a bucket that one task compares.
 BUCKET_ROWS = 512
 #: n-grams and documents of a block.
 BLOCK_GRAMS, BLOCK_ROWS = 1 << 19, 2048
@@ -239,6 +242,44 @@ def alive(left: np.ndarray, right: np.ndarray, least: dict[int, int]) -> np.ndar
     return out
 
 
+def _pairs_of_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows (label, block of blocks, rep, columns) once for each pair i <= j of blocks of its label that it is in, dealt by
+    the pair and sorted."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
+    pairs = rows.select("*", other).select("label", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "rep", "block", *columns)
+    return pairs.repartition(F.col("label"), F.col("i"), F.col("j")).sortWithinPartitions("label", "i", "j", "rep")
+
+
+def _blocks(count: Column, column: str) -> list[Column]:
+    return [count.cast("int").alias("blocks"), F.pmod(F.xxhash64(column), count).cast("int").alias("block")]
+
+
+def _prune(rows: DataFrame, least: dict[int, int]) -> DataFrame:
+    """Edges a, b that span the surviving pairs of each label; rows: _pairs_of_blocks() with more."""
+    kind = rows.schema["rep"].dataType.simpleString()
+
+    def check(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        table = pa.Table.from_batches(group).combine_chunks()
+        rep, block = table["rep"], table["block"].to_numpy()
+        more = np.frombuffer(b"".join(table["more"].to_pylist()), np.uint16).reshape(len(block), COMPARED)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(one) or not len(two):
+            return None
+        mask = alive(more[one], more[two], least)
+        a, b = np.nonzero(np.triu(mask, 1) if i == j else mask)
+        root = roots(len(block), one[a], two[b])
+        some = np.flatnonzero(root != np.arange(len(block)))
+        return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (rep.take(pa.array(some)), rep.take(pa.array(root[some])))], names=["a", "b"]) if len(some) else None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ["label", "i", "j"]):
+            if (out := check(group)) is not None:
+                yield out
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def _verify(rows: DataFrame, threshold: float, least: dict[int, int]) -> DataFrame:
     """rep, root, n_texts, n_docs: the links of each document in each pair of blocks; rows sorted by label, i, j, rep."""
     kind = rows.schema["rep"].dataType.simpleString()
@@ -296,13 +337,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     members = cut_lineage(slots.join(buckets, "key"))
     crowded = members.where((F.col("n") > bucket_rows) & (F.col("rep") != F.col("first"))).select(F.col("rep").alias("a"), F.col("first").alias("b"))
     small = members.where(F.col("n") <= bucket_rows).select("key", "rep").join(classes.select("rep", more.alias("more")), "rep")
-    edges = _candidates(small.repartition(F.col("key")).sortWithinPartitions("key", "rep"), least).unionByName(crowded)
+    edges = _candidates(small.repartition(F.col("key")).sortWithinPartitions("key", "rep"), least)
+    if not crowded.isEmpty():
+        # all pairs of signatures within what crowded buckets hold together
+        held = components(crowded)
+        size = held.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_n"))
+        held = held.join(size, "root").select(F.col("v").alias("rep"), F.col("root").alias("label"), *_blocks(F.col("_n"), "v"))
+        held = held.join(classes.select("rep", more.alias("more")), "rep")
+        edges = edges.unionByName(_prune(_pairs_of_blocks(held, ["more"]), least))
     found = components(edges)
     # candidate groups and their blocks
     part = found.join(classes.groupBy(F.col("rep").alias("v")).agg(F.max("copies").alias("copies"), F.sum("n_grams").alias("n_grams")), "v")
     size = part.groupBy("root").agg(F.sum("n_grams").alias("_g"), F.count(F.lit(1)).alias("_n"))
-    size = size.select("root", F.greatest(F.ceil(F.col("_g") / block_grams), F.ceil(F.col("_n") / block_rows)).cast("int").alias("blocks"))
-    part = part.join(size, "root").select(F.col("v").alias("rep"), F.col("root").alias("label"), "copies", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
+    size = size.select("root", F.greatest(F.ceil(F.col("_g") / block_grams), F.ceil(F.col("_n") / block_rows)).alias("_n"))
+    part = part.join(size, "root").select(F.col("v").alias("rep"), F.col("root").alias("label"), "copies", *_blocks(F.col("_n"), "v"))
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(part.hint("shuffle_hash"), "rep")
     kind = texts.schema["rep"].dataType.simpleString()
     keep = ["rep", "label", "copies", "blocks", "block"]
@@ -314,9 +362,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=[*keep, "grams", "more"])
 
     sets = texts.select(*keep, "text").mapInArrow(grams, f"rep {kind}, label {kind}, copies long, blocks int, block int, grams binary, more binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
-    pairs = sets.select("*", other).select("label", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "rep", "block", "copies", "grams", "more")
-    links = cut_lineage(_verify(pairs.repartition(F.col("label"), F.col("i"), F.col("j")).sortWithinPartitions("label", "i", "j", "rep"), threshold, least))
+    links = cut_lineage(_verify(_pairs_of_blocks(sets, ["copies", "grams", "more"]), threshold, least))
     near = components(links.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     total = links.groupBy("rep").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     known = classes.select("set_hash", "rep", "copies").join(total, "rep", "left").join(near.select(F.col("v").alias("rep"), "root"), "rep", "left")

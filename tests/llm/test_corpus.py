@@ -115,6 +115,19 @@ def test_ngram_join_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns[2] == "_id"
 
 
+def test_common_passage_does_not_hold_documents_together(spark, monkeypatch):
+    """Crowded buckets of texts that share a passage and nothing else: their pairs are pruned before any set is compared."""
+    passage, noise = " ".join(f"p{i}" for i in range(60)), random.Random(4)
+    texts = [(i, passage + " " + " ".join(f"u{noise.randrange(10**6)}" for _ in range(60))) for i in range(60)]
+    texts += [(100 + i, " ".join([*(f"c{k}" for k in range(80)), f"x{i}"])) for i in range(30)]
+    seen = []
+    verify = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda rows, *a: seen.append({r.rep for r in rows.select("rep").collect()}) or verify(rows, *a))
+    got = {r.doc_id: r for r in ngram_join.join(make(spark, texts), bucket_rows=4, block_rows=8).collect()}
+    assert seen == [set(range(100, 130))]
+    assert all(got[i].n_links == 0 for i in range(60)) and all(got[100 + i].n_links == 29 and got[100 + i].class_id == 100 for i in range(30))
+
+
 def test_intersections_of_common_and_rare_hashes():
     noise = np.random.default_rng(1)
     sets = [np.unique(noise.integers(0, 60, 40).astype(np.uint64)) for _ in range(50)]
