@@ -212,19 +212,34 @@ def brute_windows(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("options", [{}, {"max_bytes": 60, "filter_bits": 64}, {"max_bytes": 0}])
+def test_decontamination(spark, options):
+    """The benchmark as a broadcast, and beyond its bound as a join behind a filter."""
     long = " ".join(f"q{i}" for i in range(14))
-    items = [(10, long), (9, "Only three words"), (8, None), (7, "!!"), (6, " ".join(f"q{i}" for i in range(2, 13)))]
-    docs = [(1, "x " + long.upper().replace("Q", "q") + " y"), (2, "only, three; WORDS here only three"), (3, None), (4, ""), (5, "q0 q1 q2"), (6, "nothing")]
+    items = [(10, long), (9, "Only three words"), (8, None), (7, "!!"), (6, " ".join(f"q{i}" for i in range(2, 13))), (11, long + " é"), (11, long)]
+    docs = [(1, "x " + long.upper().replace("Q", "q") + " y"), (2, "only, three; WORDS here only three"), (3, None), (4, ""), (5, "q0 q1 q2"), (6, "nothing"), (8, "é " + "z " * 30_000 + long + " only three words")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r[0]: tuple(r)[1:] for r in decontaminate.digest(decontaminate.scan(clashing(spark, docs), bench, block_bytes=block)).collect()}
+    got = {r[0]: tuple(r)[1:] for r in decontaminate.digest(decontaminate.scan(clashing(spark, docs), bench, **options)).collect()}
     assert got == brute_windows(docs, items)
-    kept = decontaminate.decontaminate(clashing(spark, docs), bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == clashing(spark, docs).columns
-    cut = {r.doc_id: r.text for r in decontaminate.decontaminate(make(spark, docs), bench, mode="spans").collect()}
-    assert cut[1] == "x  y" and cut[2] == " here only three" and cut[3] is None
-    assert decontaminate.scan(make(spark, docs), bench.where("false")).where("n_hit > 0").count() == 0 == decontaminate.scan(make(spark, []), bench).count()
+    twice = [(None, docs[0][1]), (None, docs[0][1]), (7, docs[0][1]), (7, "clean")]
+    assert sorted(r.n_hit for r in decontaminate.scan(make(spark, twice), bench, **options).collect()) == [0, 14, 14, 14]
+    kept = decontaminate.decontaminate(clashing(spark, docs + twice), bench, **options)
+    assert sorted((r.doc_id, r._id) for r in kept.collect()) == [(i, "i") for i in (3, 4, 5, 6, 7)] and kept.columns == clashing(spark, docs).columns
+    cut = {r.doc_id: r.text for r in decontaminate.decontaminate(make(spark, docs), bench, mode="spans", **options).collect()}
+    assert cut[1] == "x  y" and cut[2] == " here only three" and cut[3] is None and cut[8] == "é " + "z " * 30_000
+    assert decontaminate.scan(make(spark, docs), bench.where("false"), **options).where("n_hit > 0").count() == 0 == decontaminate.scan(make(spark, []), bench, **options).count()
+
+
+def test_broadcast_windows_are_small():
+    """A benchmark at the bound stays within 8 times its bytes, flat, and is built in seconds."""
+    import pickle
+    import time
+
+    noise = np.random.default_rng(3)
+    items = [(str(i), " ".join(map(str, noise.integers(10**4, 10**6, 200)))) for i in range(6000)]
+    size, began = sum(len(t) for _, t in items), time.process_time()
+    windows = decontaminate.Windows(items, 10)
+    assert size > 7 << 20 and time.process_time() - began < 8 and len(pickle.dumps(windows)) < 8 * size
 
 
 def test_warc_round_trip(spark, tmp_path):
