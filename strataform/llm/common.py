@@ -9,17 +9,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer text makes a step of its own.
 STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset the one that was set on the
+    context, or a temporary one in local mode, where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if not known.isDefined():
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
         known = sc._jsc.sc().getCheckpointDir()
     return named or known.get()
@@ -31,6 +35,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM's objects: any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined (left) to table, whose key is unique; count: how many rows about have it. Keys with a thousandth or more of
+    these rows, 1,000 at most, are broadcast, the others shuffled; rows of the former and of null keys go on to any task."""
+    values = [c for c in table.columns if c not in (key, count)]
+    hot = table.crossJoin(F.broadcast(table.agg(F.sum(count).alias("_all")))).where(F.col(count) * 1000 >= F.col("_all"))
+    first = rows.join(F.broadcast(hot.select(key, F.struct(*values).alias("_hot"))), key, "left")
+    anywhere = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    first = first.withColumn("_key", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), anywhere).otherwise(F.col(key).cast("string")))
+    out = first.join(table.select(F.col(key).cast("string").alias("_key"), F.struct(*values).alias("_cold")), "_key", "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in values])
+
+
 def salts(spark: SparkSession) -> int:
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

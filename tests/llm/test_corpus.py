@@ -1,6 +1,7 @@
 """The corpus operators on small tables: against brute force, and on nulls, empty and long texts, ties, repeated rows, empty
 tables and clashing names."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -243,14 +244,37 @@ def test_broadcast_windows_are_small():
 
 
 def test_warc_round_trip(spark, tmp_path):
+    import gzip
+
     rows = [(1, "http://a/ü x", "<p>é\r\n\r\n</p>"), (2, None, "<p>é\r\n\r\n</p>"), (3, "u", None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\n"), (6, "u", "z" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    warc.write(pages, str(tmp_path / "w"), max_records=2)
+    warc.write(pages.coalesce(1), str(tmp_path / "w"), file_bytes=700)
     got = {r.page_id: r for r in warc.read(spark, str(tmp_path / "w")).collect()}
     assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
-    assert {k: (r.payload_bytes, r.payload_digest) for k, r in got.items()} == {i: (len((h or "").encode()), warc.digest((h or "").encode())) for i, _, h in rows}
+    assert {k: (r.payload_bytes, r.payload_digest) for k, r in got.items()} == {i: (len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()) for i, _, h in rows}
     small = warc.archive_round_trip(pages, min_bytes=5).where("record_type = 'revisit'").collect()
     assert [r.page_id for r in small] == [1]
+    files = [x for x in (tmp_path / "w").iterdir() if not x.name.startswith((".", "_"))]
+    assert len(files) > 1 and all(f.name.endswith(".warc.gz") and f.stat().st_size < 3000 for f in files)
+    for f in files:  # each record is a member of its own, the first a warcinfo, and any gzip reader reads the whole
+        own = [x for data in warc.members(f.read_bytes()) for x in warc.parse(data)]
+        assert own[0][0]["warc-type"] == "warcinfo" and len(own) == len(list(warc.members(f.read_bytes())))
+        assert [h for h, _ in warc.parse(gzip.decompress(f.read_bytes()))] == [h for h, _ in own]
+
+
+def test_warc_edges(spark):
+    """Hot payloads, repeated rows, null ids, ids of other types, an empty table, clashing names; nothing stays behind."""
+    import os
+
+    schema = "page_id string, url string, html string, _id string, payload_digest string, _to string, n long"
+    rows = [(f"{i:04}", "u", "same" if i % 3 == 0 else f"p{i}", "x", "y", "z", i) for i in range(90)] + [(None, "u", "same", "", "", "", 0)] * 2 + [("0089", "u", "p89", "", "", "", 0)]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, schema).repartition(4)).collect()
+    assert len(got) == len(rows) and {r.refers_to for r in got if r.record_type == "revisit"} == {"0087"}
+    assert sum(r.record_type == "revisit" for r in got) == 31 and sum(r.page_id == "0089" and r.record_type == "response" for r in got) == 2
+    assert {r.payload_bytes for r in got if r.page_id is None} == {4}
+    assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert not [x for x in os.listdir(folder) if x.startswith("warc-")]
 
 
 def test_token_counts(spark):
