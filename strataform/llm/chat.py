@@ -8,8 +8,13 @@
 
 No control string may show inside a text: it gets a backslash after its first character (one more than it had), which
 the parser takes away. Each turn is parsed again as soon as it is written and compared with its source, and escaped where
-it doesn't come back identical. Turns go in the order of (turn, role, text); null text is empty. The rows of a conversation pass a parser one by
-one, sorted, so a conversation of any length needs the memory of one turn."""
+it doesn't come back identical. Turns go in the order of (turn, role, text); null text is empty. The rows of a conversation pass one parser
+in order, which reads their text as one stream and knows nothing of the borders of rows, so a conversation of any length
+needs the memory of one turn. The digests of a conversation are taken in its order, so one task streams it; rendering and
+escaping are done before, wherever the rows are.
+
+Null roles are empty; rows that repeat stay; a null conv_id is a conversation; an empty table has none. Other columns than
+the four named are ignored."""
 
 from __future__ import annotations
 
@@ -76,6 +81,37 @@ def render_turn(role: str | None, text: str | None) -> str:
     raise Mismatch(f"a {role!r} turn doesn't read back")
 
 
+class Stream:
+    """Parses a conversation that comes in pieces, cut anywhere."""
+
+    def __init__(self) -> None:
+        self.rest, self.started, self.size = "", False, 0
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """Role and text of the turns that the piece completes."""
+        self.size += len(piece)
+        self.rest += piece
+        if not self.started:
+            if len(self.rest) < len(FIRST):
+                return
+            if not self.rest.startswith(FIRST):
+                raise Mismatch("no start")
+            self.rest, self.started = self.rest[len(FIRST) :], True
+        at = 0
+        while at < len(self.rest):
+            try:
+                role, start, end, stop = parse_turn(self.rest, at)
+            except Mismatch:
+                break  # perhaps the turn goes on in the next piece
+            yield role, unescape(self.rest[start:end])
+            at = stop
+        self.rest = self.rest[at:]
+
+    def close(self) -> None:
+        if self.rest or not self.started:
+            raise Mismatch(f"what is left is no turn: {self.rest[:20]!r}")
+
+
 def parse(text: str) -> list[tuple[str, str, tuple[int, int] | None]]:
     """The turns of a formatted conversation: role, text, and for an assistant the range of its text under the loss mask."""
     if not text.startswith(FIRST):
@@ -107,31 +143,32 @@ def read_back(turns: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
-        conv, state, done = none, None, []
+        conv, state, stream, done = none, None, None, []
+
+        def row() -> dict:
+            stream.close()
+            return {"conv_id": conv, "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": stream.size}
 
-        def row(conv, s) -> dict:
-            return {"conv_id": conv, "n_turns": s[0], "turns_sha256": s[1].hexdigest(), "loss_chars": s[2], "loss_sha256": s[3].hexdigest(), "formatted_chars": s[4]}
+        def take(piece: str) -> None:
+            for role, text in stream.feed(piece):
+                state[0] += 1
+                state[1].update(f"{role}\n{text}\n".encode())
+                if role == "assistant":
+                    state[2] += len(text)
+                    state[3].update(text.encode())
 
         for batch in batches:
             done = []
             for c, written in zip(batch.column("conv_id").to_pylist(), batch.column("segment")):
                 if conv is none or c != conv:
                     if conv is not none:
-                        done.append(row(conv, state))
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), len(FIRST)]
-                written, at = written.as_py(), 0
-                while at < len(written):
-                    role, start, end, at = parse_turn(written, at)
-                    text = unescape(written[start:end])
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                    if role == "assistant":
-                        state[2] += len(text)
-                        state[3].update(text.encode())
-                state[4] += len(written)
+                        done.append(row())
+                    conv, state, stream = c, [0, hashlib.sha256(), 0, hashlib.sha256()], Stream()
+                    take(FIRST)
+                take(written.as_py())
             yield pa.RecordBatch.from_pylist(done, schema=out)
         if conv is not none:
-            yield pa.RecordBatch.from_pylist([row(conv, state)], schema=out)
+            yield pa.RecordBatch.from_pylist([row()], schema=out)
 
     out = pa.schema([("conv_id", _arrow(turns, "conv_id")), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     ordered = turns.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "segment")
