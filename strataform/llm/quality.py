@@ -9,8 +9,9 @@ from all documents; fitting takes bounded samples of P and U, chosen by hash; U
 are labelled rows whatever their label where both labels occur, as the prior is a share of these, else any documents. The
 scores cover every whole text.
 
-Null text counts as empty. Documents whose ids repeat are scored each by itself; labels that disagree about one id count
-as label 0; null labels don't count."""
+Null text counts as empty, a text of any length as a whole. Documents whose ids repeat are scored each by itself, and one of
+them is learned from; labels that repeat count once, and those that disagree about one id as label 0; null labels don't
+count. Without documents there are no rows, without labels nothing is rejected. Other columns than those named are ignored."""
 
 from __future__ import annotations
 
@@ -112,14 +113,17 @@ def held_out(id_column: Column) -> Column:
 
 
 def _collect_features(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and _kind of a bounded number of documents."""
+    """Features and _kind, one row for each _id and _kind of docs, of which there must be a bounded number: of rows that repeat
+    an id the text with the least hash counts. It is picked before the shuffle, so a very common id is a row from each task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             x = features(*text_buffer(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("_kind"), pa.array([r.tobytes() for r in x], pa.binary())], names=["_kind", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_kind", "_h")), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "_kind", "_h", "x"])
 
-    rows = docs.select("_kind", "text").mapInArrow(run, "_kind int, x binary").collect()
+    kind = docs.schema["_id"].dataType.simpleString()
+    rows = docs.select("_id", "_kind", F.xxhash64("text").alias("_h"), "text").mapInArrow(run, f"_id {kind}, _kind int, _h long, x binary")
+    rows = rows.groupBy("_id", "_kind").agg(F.min(F.struct("_h", "x")).alias("m")).select("_kind", "m.x").collect()
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float32).reshape(-1, N_FEATURES)
     return x, np.array([r._kind for r in rows], np.int64)
 

@@ -304,6 +304,25 @@ def test_chat_round_trip(spark):
     assert [t for _, t, _ in chat.parse(whole[1])] == ["a", hard[0]]
     with pytest.raises(chat.Mismatch):
         chat.parse("<s>[INST] open")
+    for cut in (1, 2, 5, 1000):  # the stream of a conversation, cut anywhere
+        stream = chat.Stream()
+        assert [x for k in range(0, len(text), cut) for x in stream.feed(text[k : k + cut])] == turns and stream.size == len(text)
+        stream.close()
+    with pytest.raises(chat.Mismatch):
+        list((broken := chat.Stream()).feed("<s>[INST] open"))
+        broken.close()
+
+
+def test_chat_tables(spark):
+    """A conversation that holds most rows, repeated rows, very long texts, clashing names, an empty table."""
+    schema = "conv_id long, turn long, role string, text string, segment string, n_turns long"
+    rows = [(1, i, ("user", "assistant")[i % 2], "x <s>" * (1 + i % 7), "s", 0) for i in range(3000)] + [(2, 0, "user", "a" * 3_000_000 + "[INST]", None, 1)] + [(3, 0, "assistant", "same", "", 2)] * 2
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(spark.createDataFrame(rows, schema).repartition(5))).collect()}
+    for conv in (1, 2, 3):
+        own = sorted((t, r, x) for c, t, r, x, *_ in rows if c == conv)
+        assert got[conv].n_turns == len(own) and got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        assert got[conv].loss_sha256 == hashlib.sha256("".join(x for _, r, x in own if r == "assistant").encode()).hexdigest()
+    assert chat.read_back(chat.format_turns(spark.createDataFrame([], schema))).count() == 0
 
 
 def test_html():
@@ -370,6 +389,33 @@ def test_quality_samples(spark, monkeypatch):
     assert sizes == [(40, 60), (40, 200)]
 
 
+def test_quality_of_a_very_common_id(spark):
+    """One id on most rows: one row of it is learned from, whatever the order."""
+    docs = [(7, f"the common text {i % 3}") for i in range(3000)] + [(i, f"word {i} of it") for i in range(100, 160)]
+    frame = make(spark, docs).withColumn("_id", F.col("doc_id")).withColumn("_kind", F.lit(1))
+    x, kind = quality._collect_features(frame.repartition(6))
+    assert len(x) == 61 and len(kind) == 61
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(100, 160)] + [(7, 1), (7, 1)], "doc_id long, quality int")
+    a, b = (quality.train(make(spark, docs).repartition(n), labels) for n in (2, 9))
+    assert np.allclose(a.weights, b.weights)
+    assert quality.score(make(spark, docs), a).where("doc_id = 7").select("score").distinct().count() <= 3
+
+
+def test_quality_risk_goes_down():
+    """The fit against its definition: the non-negative risk in plain numpy, at the start, at the end, and at points around it."""
+    noise = np.random.default_rng(2)
+    xp, xu = noise.normal(1, 1, (80, 4)), np.concatenate([noise.normal(1, 1, (60, 4)), noise.normal(-1, 1, (60, 4))])
+
+    def risk(w, b, prior=0.5):
+        loss = lambda z: np.log1p(np.exp(-z))
+        fp, fu = xp @ w + b, xu @ w + b
+        return prior * loss(fp).mean() + max(0.0, loss(-fu).mean() - prior * loss(-fp).mean()) + 5e-4 * w @ w
+
+    w, b = quality._descend(xp, xu, 0.5, 600)
+    assert risk(w, b) < 0.8 * risk(np.zeros(4), 0.0)
+    assert all(risk(w, b) <= risk(w + d[:4], b + d[4]) + 2e-3 for d in noise.normal(0, 0.05, (50, 5)))
+
+
 def test_quality(spark):
     noise = random.Random(1)
     good = lambda: " ".join(noise.choice("the of and house river walks slowly green".split()) for _ in range(40)) + "."
