@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Microseconds from 0001-01-01 to 1970-01-01: windows are aligned to year 1.
 EPOCH_MICROS = 62_135_596_800_000_000
 UNKNOWN = "unknown"
-#: Glyphs of a sparkline, from low to high.
+#: Glyphs of a sparkline, from low to high.
 SPARK = " .:-=+*#@"
 
 

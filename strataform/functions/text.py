@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-HEADLINES = {"DeviationFromExpectation": "Busier or quieter than its peers", "ZScoreOutlier": "Unusual against history", "EwmaTrendShift": "Sudden change", "SimpsonsParadox": "Totals hide the parts"}
+HEADLINES = {"DeviationFromExpectation": "Out of step with its siblings", "ZScoreOutlier": "Unusual against history", "EwmaTrendShift": "Sudden change", "SimpsonsParadox": "Totals hide the parts"}
 
 
 def percent(x: float, digits: int = 1) -> str:
@@ -40,6 +40,29 @@ def headline(kind: str) -> str:
     return HEADLINES.get(kind, "Worth a look")
 
 
+def alert_body(kind: str, cell: str, score: float) -> str:
+    """Two sentences for an alert."""
+    size = "far" if score >= 5 else "clearly" if score >= 2 else "slightly"
+    why = {"DeviationFromExpectation": f"It is {size} from the mean of its dimension", "ZScoreOutlier": f"It is {size} outside what the snapshot before had", "EwmaTrendShift": f"It left its smoothed course by {score:,.1f}", "SimpsonsParadox": "Its parts move one way and the total the other"}
+    return f"{headline(kind)}: {place(cell)}. {why.get(kind, f'It scores {score:.2f}')}."
+
+
+def trend_text(cell: str, before: float, now: float) -> str:
+    if before == now:
+        return f"{place(cell)} holds at {count(now)}."
+    change = f" ({signed((now - before) / before)})" if before else ""
+    return f"{place(cell)} went {'up' if now > before else 'down'} from {count(before)} to {count(now)}{change}."
+
+
+def narrate(tell, prompt: str, allowed: Iterable[float], fallback: str) -> str:
+    """What a narrator tells, if every number in it is grounded; else the fallback."""
+    try:
+        told = tell(prompt)
+    except Exception:  # noqa: BLE001  a report never fails for want of prose
+        return fallback
+    return told if told and is_grounded(told, list(allowed)) else fallback
+
+
 def executive_summary(leaders: Sequence[tuple[str, float]], insights: Sequence[tuple[str, str, float]], rates: dict[str, float], paradoxes: int = 0) -> str:
     """leaders: cell id and count; insights: kind, cell id, score; rates: signal rate by cell id."""
     if not leaders:
@@ -91,3 +114,13 @@ def report_markdown(parts: dict[str, DataFrame], subject: str = "campaign") -> s
         f"Best hour {h.best_hour} ({percent(h.best_rate or 0)}), worst {h.worst_hour} ({percent(h.worst_rate or 0)}).",
     ]
     return "\n".join(lines) + "\n"
+
+
+def write_report(spark: SparkSession, text: str, path: str) -> None:
+    """A report as one file, wherever Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

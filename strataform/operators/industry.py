@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataform.functions.lineage import cut
 from strataform.functions.scalar import day_bucket, hour_bucket, ratio
 from strataform.operators.snapshot import Snapshot, value
-from strataform.plans.schema import RollupSchema
+from strataform.plans.schema import RollupSchema, percentiles
 
 MATERIALITY = 0.005
 #: The direction of each rate; other metrics are neutral.
@@ -36,9 +37,9 @@ def message_schema() -> RollupSchema:
 
 
 def cohort_bands(facts: DataFrame, by: Sequence[str], rate: str, min_peers: int = 5) -> DataFrame:
-    """p25, median, p75, p90 and peer_count of a rate in each cohort of min_peers or more; discrete percentiles."""
-    rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {rate})")
-    rows = facts.groupBy(*by).agg(rank(0.25).alias("p25"), rank(0.5).alias("median"), rank(0.75).alias("p75"), rank(0.9).alias("p90"), F.count(rate).alias("peer_count"))
+    """p25, median, p75, p90 and peer_count of a rate in each cohort of min_peers or more; discrete percentiles, from a sketch."""
+    ranks = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    rows = facts.groupBy(*by).agg(*[c.alias(k) for k, c in zip(ranks, percentiles(rate, ranks.values()))], F.count(rate).alias("peer_count"))
     return rows.where(F.col("peer_count") >= min_peers)
 
 
@@ -159,6 +160,13 @@ def ranked_anomalies(found: DataFrame, snapshot: DataFrame, n: int = 8) -> DataF
     return rows.orderBy(F.desc(F.round("rank", 9)), "dimension", "cell_key", "metric").limit(n)
 
 
+def flow_shares(snapshot: DataFrame) -> DataFrame:
+    """stage, outcome, share: how what was sent splits into cancelled and attempted, and that into delivered and the reasons."""
+    t = campaign_totals(snapshot)
+    parts = [("sent", "cancelled"), ("sent", "attempted"), *(("attempted", x) for x in ("delivered", "expired", "undeliv", "rejectd", "spam"))]
+    return t.select(F.inline(F.array(*[F.struct(F.lit(a).alias("stage"), F.lit(b).alias("outcome"), F.when(F.col(a) <= 0, F.lit(0.0)).otherwise(ratio(F.col(b), F.col(a))).alias("share")) for a, b in parts])))
+
+
 def hour_extremes(snapshot: DataFrame) -> DataFrame:
     """One row: the hours of best and worst delivery; ties go to the earlier hour."""
     rows = snapshot.where(F.lower("dimension") == "hod").withColumn("_r", F.round("delivery_rate", 9))
@@ -185,6 +193,7 @@ def observation_text(found: DataFrame) -> DataFrame:
 
 def build_report(snapshot: Snapshot, history: DataFrame, bands: DataFrame, moving: DataFrame | None = None) -> dict[str, DataFrame]:
     """All parts of a campaign report by name."""
+    rows = cut(snapshot.rows)  # every part reads the cells, which are rolled up once
+    snapshot = Snapshot(rows, snapshot.generated_at, snapshot.primary_metric)
     found = observations(snapshot.long(), history, bands, moving)
-    rows = snapshot.rows
-    return {"observations": found, "totals": campaign_totals(rows), "leaderboard": leaderboard(rows), "reasons": worst_by_reason(rows), "anomalies": ranked_anomalies(found, rows), "hours": hour_extremes(rows), "grade": campaign_grade(rows)}
+    return {"observations": found, "totals": campaign_totals(rows), "leaderboard": leaderboard(rows), "reasons": worst_by_reason(rows), "anomalies": ranked_anomalies(found, rows), "hours": hour_extremes(rows), "grade": campaign_grade(rows), "flow": flow_shares(rows)}

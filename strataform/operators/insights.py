@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataform.functions import scalar as S
+from strataform.functions.lineage import sums_before
 from strataform.functions.scalar import cell_id, cosine, ewma, pearson, ratio
 from strataform.operators.snapshot import Snapshot, metric_columns, series, value
 
 ALPHA, SIGMA_FLOOR = 0.35, 1e-6
+#: Bounds of skew and tail.
 SKEW_RATIO, HEAVY_TAIL = 1.25, 2.5
 #: Of more series than this, the ones of greatest variance are compared.
 MAX_SERIES = 200
@@ -24,9 +26,9 @@ _KIND_ORDER = {"DeviationFromExpectation": 0, "ZScoreOutlier": 1, "EwmaTrendShif
 
 def surprise(snapshot: Snapshot) -> DataFrame:
     """Each cell against the mean of its dimension: (pv - mean) / sqrt(mean + 1); dimensions that sum to 0 give none."""
-    dim = Window.partitionBy("dimension")
-    rows = snapshot.primary().select("*", F.sum("pv").over(dim).alias("total"), F.count(F.lit(1)).over(dim).alias("n"))
-    rows = rows.where("total <> 0").withColumn("expected", F.col("total") / F.col("n"))
+    cells = snapshot.primary()
+    totals = cells.groupBy("dimension").agg(F.sum("pv").alias("total"), F.count(F.lit(1)).alias("n"))  # a row for each dimension
+    rows = cells.join(F.broadcast(totals), "dimension").where("total <> 0").withColumn("expected", F.col("total") / F.col("n"))
     return rows.select("cell_id", "pv", "expected", ((F.col("pv") - F.col("expected")) / F.sqrt(F.col("expected") + 1)).alias("residual")).withColumn("score", F.abs("residual"))
 
 
@@ -57,11 +59,14 @@ def _pair(previous: DataFrame, current: DataFrame) -> DataFrame:
     return p.join(c, "_id", "full_outer").select(F.coalesce("_c", "_p").alias("cell_id"), F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("c", F.lit(0.0)).alias("c"))
 
 
-def _contributions(rows: DataFrame, top_n: int, by: Sequence[str] = ()) -> DataFrame:
-    """rows: by, cell_id, p, c. The totals are aggregated apart, so no window takes all rows into one task."""
+def _contributions(rows: DataFrame, top_n: int | None, by: Sequence[str] = ()) -> DataFrame:
+    """rows: by, cell_id, p, c; all of them, in no order, where top_n is None. The totals are aggregated apart, so no window
+    takes all rows into one task."""
     totals = rows.groupBy(*by).agg(F.sum("p").alias("total_previous"), F.sum("c").alias("total_current"))
     rows = (rows.join(totals, list(by)) if by else rows.crossJoin(F.broadcast(totals))).withColumn("total_delta", F.col("total_current") - F.col("total_previous"))
     rows = rows.select(*by, "cell_id", F.col("p").alias("previous_value"), F.col("c").alias("current_value"), (F.col("c") - F.col("p")).alias("delta"), ratio(F.col("c") - F.col("p"), F.col("total_delta")).alias("share_of_total_delta"), "total_previous", "total_current", "total_delta")
+    if top_n is None:
+        return rows
     order = [F.desc(F.abs("delta")), F.col("cell_id")]
     if not by:
         return rows.orderBy(*order).limit(max(1, top_n))
@@ -148,21 +153,61 @@ def comovement_of(history: DataFrame, cell: str, n_snapshots: int, metric: str =
 
 def sibling_rank(snapshot: Snapshot) -> DataFrame:
     """percentile_rank (share of cells of the dimension strictly below) and share_of_dimension of each cell."""
-    dim = Window.partitionBy("dimension")
-    return snapshot.primary().select("cell_id", "pv", ((F.rank().over(dim.orderBy("pv")) - 1) / F.count(F.lit(1)).over(dim)).alias("percentile_rank"), ratio(F.col("pv"), F.sum("pv").over(dim)).alias("share_of_dimension"))
-
-
-def explain(current: Snapshot, cell: str, previous: Snapshot | None = None) -> DataFrame:
-    """One cell: value, share and rank among its siblings, and against the previous snapshot delta, share of the total move,
-    and z among the siblings then (null for fewer than two)."""
-    row = sibling_rank(current).where(F.lower("cell_id") == cell.lower())
+    cells = snapshot.primary()
+    totals = cells.groupBy("dimension").agg(F.sum("pv").alias("_total"), F.count(F.lit(1)).alias("_n"))  # a row for each dimension
+    values = cells.groupBy("dimension", "pv").agg(F.count(F.lit(1)).alias("_same"))
+    below = sums_before(values, "dimension", ["pv"], F.col("_same"), "_below").select("dimension", "pv", "_below")
+    rows = cells.join(below, ["dimension", "pv"]).join(F.broadcast(totals), "dimension")
+    return rows.select("cell_id", "pv", (F.col("_below") / F.col("_n")).alias("percentile_rank"), ratio(F.col("pv"), F.col("_total")).alias("share_of_dimension"))
+
+
+_NO_PAIRS = "array<struct<cell_id string, other_cell_id string, correlation double, lag_snapshots int>>"
+
+
+def explain(current: Snapshot, cell: str, previous: Snapshot | None = None, history: DataFrame | None = None, n_snapshots: int = 0, digest: str | None = None, alpha: float = ALPHA) -> DataFrame:
+    """One row about a cell: cell_id, dimension, key, pv, its percentile_rank and share_of_dimension among its siblings; against
+    the previous snapshot previous_value, delta, ewma_baseline, sibling_z (null for fewer than two siblings then) and
+    share_of_total_delta; shape (of a digest's distribution); comovements (from a history of three snapshots or more, as
+    for comovement_of()); bullets, what these say in words. What isn't asked for is null or empty. An unknown cell is a
+    KeyError. Siblings are aggregated, none of them is sorted or collected."""
+    found = current.lookup(cell)
+    if found.isEmpty():
+        raise KeyError(f"no cell {cell!r} in the snapshot")
+    own = found.select("dimension", "key", cell_id().alias("cell_id"), value(found, current.primary_metric).alias("pv")).limit(1)
+    siblings = current.primary().select(F.col("dimension").alias("_d"), F.col("pv").alias("_pv"))
+    among = siblings.join(F.broadcast(own.select(F.col("dimension").alias("_d"), F.col("pv").alias("_own"))), "_d")
+    among = among.agg(F.count_if(F.col("_pv") < F.col("_own")).alias("_below"), F.count(F.lit(1)).alias("_n"), F.sum("_pv").alias("_total"))
+    one = lambda a, b: a.crossJoin(F.broadcast(b))  # noqa: E731  both of one row
+    row = one(own, among).select("cell_id", "dimension", "key", "pv", (F.col("_below") / F.col("_n")).alias("percentile_rank"), ratio(F.col("pv"), F.col("_total")).alias("share_of_dimension"))
+    none = F.lit(None).cast("double")
     if previous is None:
-        return row
-    dimension = cell.partition(":")[0].lower()
-    siblings = previous.primary().where(F.lower("dimension") == dimension).agg(F.count(F.lit(1)).alias("_n"), F.avg("pv").alias("_m"), F.stddev_pop("pv").alias("_s"))
-    z = F.when(F.col("_n") > 1, F.when(F.col("_s") <= 1e-9, F.lit(0.0)).otherwise(F.try_divide(F.col("pv") - F.col("_m"), F.col("_s"))))
-    moved = _contributions(_pair(previous.primary(), current.primary()), 1 << 30).where(F.lower("cell_id") == cell.lower()).select("previous_value", "delta", "share_of_total_delta")
-    return row.crossJoin(F.broadcast(siblings)).crossJoin(F.broadcast(moved)).select("cell_id", "pv", "percentile_rank", "share_of_dimension", "previous_value", "delta", "share_of_total_delta", z.alias("sibling_z"))
+        row = row.withColumns(dict.fromkeys(("previous_value", "delta", "ewma_baseline", "sibling_z", "share_of_total_delta"), none))
+    else:
+        before = previous.primary().where(F.lower("dimension") == cell.partition(":")[0].lower()).agg(F.count(F.lit(1)).alias("_n"), F.avg("pv").alias("_m"), F.stddev_pop("pv").alias("_s"))
+        z = F.when(F.col("_n") > 1, F.when(F.col("_s") <= 1e-9, F.lit(0.0)).otherwise(F.try_divide(F.col("pv") - F.col("_m"), F.col("_s"))))
+        moved = _contributions(_pair(previous.primary(), current.primary()), None).where(F.lower("cell_id") == cell.lower()).select("previous_value", "delta", "share_of_total_delta")
+        row = one(one(row, before), moved).withColumns({"sibling_z": z, "ewma_baseline": F.lit(alpha) * F.col("pv") + F.lit(1 - alpha) * F.col("previous_value")}).drop("_n", "_m", "_s")
+    shape = F.lit(None)
+    if digest is not None:
+        rows = distribution_shape(Snapshot(found, current.generated_at, current.primary_metric), digest).limit(1)
+        row, shape = one(row, rows.select(F.struct(*rows.columns[1:]).alias("_shape"))), F.col("_shape")
+    pairs = F.array().cast(_NO_PAIRS)
+    if history is not None and n_snapshots >= 3:
+        together = comovement_of(history, cell, n_snapshots).agg(F.collect_list(F.struct("cell_id", "other_cell_id", "correlation", "lag_snapshots")).alias("_pairs"))  # five at most
+        row, pairs = one(row, together), F.col("_pairs")
+    row = row.withColumns({"shape": shape, "comovements": pairs})
+    percent = lambda c: F.concat(F.format_number(c * 100, 1), F.lit(" %"))
+    number = lambda c: F.format_number(c, 2)
+    says = [
+        F.concat(F.lit("At "), number("pv"), F.lit(", above "), percent(F.col("percentile_rank")), F.lit(" of its siblings, "), percent(F.col("share_of_dimension")), F.lit(" of the dimension.")),
+        F.when(F.col("delta").isNotNull(), F.concat(F.when(F.col("delta") < 0, "Down").otherwise("Up"), F.lit(" by "), number(F.abs("delta")), F.lit("; smoothed it stands at "), number("ewma_baseline"), F.lit("."))),
+        F.when(F.abs("sibling_z") >= 2, F.concat(number("sibling_z"), F.lit(" deviations from its siblings of before."))),
+        F.when(F.abs("share_of_total_delta") > 0, F.concat(percent(F.col("share_of_total_delta")), F.lit(" of the whole change comes from it."))),
+        F.when(F.col("shape.heavy_tail") | F.col("shape.mean_misleading"), F.concat(F.lit("Its mean misleads: half are below "), number("shape.median"), F.lit("."))) if digest is not None else F.lit(None).cast("string"),
+        F.when(F.size("comovements") > 0, F.concat(F.lit("It moves with "), F.array_join(F.transform("comovements", lambda p: F.when(F.lower(p["cell_id"]) == cell.lower(), p["other_cell_id"]).otherwise(p["cell_id"])), ", "), F.lit("."))),
+    ]
+    out = "cell_id dimension key pv percentile_rank share_of_dimension previous_value delta ewma_baseline sibling_z share_of_total_delta shape comovements".split()
+    return row.select(*out, F.array_compact(F.array(*says)).alias("bullets"))
 
 
 def signal_rate(snapshot: Snapshot, count: str = "count", signal: str = "signal") -> DataFrame:
@@ -172,11 +217,18 @@ def signal_rate(snapshot: Snapshot, count: str = "count", signal: str = "signal"
 
 
 def analyze_summary(current: Snapshot, previous: Snapshot | None = None, top_n: int = 5) -> DataFrame:
-    """section, cell_id, score: the lowest score of each cell among the top insights, signal rates, and paradoxes."""
-    top = interesting_cells(current, previous, top_n).groupBy("cell_id").agg(F.min("score").alias("score")).select(F.lit("anomaly").alias("section"), "cell_id", "score")
-    out = top.unionByName(signal_rate(current).select(F.lit("trend").alias("section"), "cell_id", F.col("signal_rate").alias("score")))
+    """section, kind, cell_id, score. anomaly: the lowest score of each cell among the top insights; trend: signal rates;
+    simpson: paradoxes, with the move of the pooled rate; flag: the insights and paradoxes that need a look, by kind;
+    recommended: the insight to read first, none if there is none."""
+    none = F.lit(None).cast("string")
+    insights = interesting_cells(current, previous, top_n)
+    top = insights.groupBy("cell_id").agg(F.min("score").alias("score")).select(F.lit("anomaly").alias("section"), none.alias("kind"), "cell_id", "score")
+    out = top.unionByName(signal_rate(current).select(F.lit("trend").alias("section"), none.alias("kind"), "cell_id", F.col("signal_rate").alias("score")))
+    out = out.unionByName(insights.where(F.col("kind") != "EwmaTrendShift").select(F.lit("flag").alias("section"), "kind", "cell_id", "score"))
+    out = out.unionByName(interesting_cells(current, previous, 1).select(F.lit("recommended").alias("section"), "kind", "cell_id", "score"))
     if previous is not None:
-        out = out.unionByName(simpsons_paradox(previous, current).select(F.lit("simpson").alias("section"), F.col("parent_cell_id").alias("cell_id"), F.col("pooled_rate_delta").alias("score")).distinct())
+        found = simpsons_paradox(previous, current).select(F.lit("SimpsonsParadox").alias("kind"), F.col("parent_cell_id").alias("cell_id"), F.col("pooled_rate_delta").alias("score")).distinct()
+        out = out.unionByName(found.select(F.inline(F.array(*[F.struct(F.lit(x).alias("section"), "kind", "cell_id", "score") for x in ("simpson", "flag")]))))
     return out
 
 

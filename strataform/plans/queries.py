@@ -70,11 +70,11 @@ _metric("rollup_percentiles", lambda b: b.percentile_digest("value", "v"), "roun
 _metric("rollup_distinct_exact", lambda b: b.hyper_log_log("user_id", "users", exact=True), "CAST(count(DISTINCT user_id) AS DOUBLE) AS users_unique")
 
 
-@query("""SELECT dimension, key, true AS close FROM (SELECT 'event_type' AS dimension, event_type AS key FROM events UNION ALL SELECT 'day', strftime(ts, '%Y-%m-%d') FROM events) GROUP BY dimension, key""")
+@query("""SELECT dimension, key, CAST(count(DISTINCT user_id) AS DOUBLE) AS users, true AS close FROM (SELECT 'event_type' AS dimension, event_type AS key, user_id FROM events UNION ALL SELECT 'day', strftime(ts, '%Y-%m-%d'), user_id FROM events) GROUP BY dimension, key""")
 def rollup_distinct_approx(spark, sf_dir):
     b = lambda: RollupSchema.builder().dimension("event_type").dimension("day", F.date_format("ts", "yyyy-MM-dd"))
     schema = b().hyper_log_log("user_id", "approx").hyper_log_log("user_id", "exact", exact=True).build()
-    return rollup(events(spark, sf_dir), schema).select("dimension", "key", (F.abs(F.col("approx_unique") - F.col("exact_unique")) <= 0.05 * F.col("exact_unique")).alias("close"))
+    return rollup(events(spark, sf_dir), schema).select("dimension", "key", F.col("exact_unique").alias("users"), (F.abs(F.col("approx_unique") - F.col("exact_unique")) <= 0.05 * F.col("exact_unique")).alias("close"))
 
 
 @query("SELECT 'event_type' AS dimension, event_type AS key, event_id FROM events UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), event_id FROM events")
@@ -122,6 +122,7 @@ FROM (SELECT 'event_type' AS dimension, event_type AS key, ts, value FROM events
 
 
 _PAIR = f"p AS ({_snap(f'''ts < '{CUT}' ''')}), c AS ({_snap(f'''ts >= '{CUT}' ''')})"
+_PAIR_DIGEST = f"p AS ({_snap(f'''ts < '{CUT}' ''', True)}), c AS ({_snap(f'''ts >= '{CUT}' ''', True)})"
 _LONG = "SELECT dimension, key, metric, round(value, 6) AS value{more} FROM s UNPIVOT (value FOR metric IN (count, signal, value_sum, v_mean, v_p50, v_p95, v_p99))"
 
 
@@ -215,15 +216,21 @@ def drivers_multi(spark, sf_dir):
     return rounded(N.drivers_for_metrics(*pair(spark, sf_dir)))
 
 
+_BEFORE = "l_shipdate < TIMESTAMP '1996-01-01'"
+
+
 def _simpson_pair(spark, sf_dir) -> tuple[Snapshot, Snapshot]:
-    schema = RollupSchema.builder().dimension("size", F.when(F.col("l_quantity") > 25, "bulk").otherwise("small")).count().sum("l_quantity", "signal").build()
-    rows = table(spark, sf_dir, "lineitem").withColumn("y", F.year("l_shipdate"))
-    return Snapshot(rollup(rows.where("y = 1996"), schema)), Snapshot(rollup(rows.where("y = 1997 AND (l_quantity > 25 OR l_orderkey % 3 = 0)"), schema))
+    schema = RollupSchema.builder().dimension("size", F.when(F.col("l_quantity") > 25.5, "bulk").otherwise("small")).count().sum("l_quantity", "signal").build()
+    rows = table(spark, sf_dir, "lineitem")
+    # a shift of the mix: all lines before and after a day, the later ones with half a piece more, and small ones twice
+    later = rows.where(f"NOT coalesce({_BEFORE}, false)").withColumn("l_quantity", F.col("l_quantity") + 0.5)
+    return Snapshot(rollup(rows.where(_BEFORE), schema)), Snapshot(rollup(later.unionByName(later.where("l_quantity <= 25.5")), schema))
 
 
-@query("""WITH s AS (SELECT year(l_shipdate) AS y, 'size:' || CASE WHEN l_quantity > 25 THEN 'bulk' ELSE 'small' END AS cell_id, count(*) AS n, sum(l_quantity) AS x FROM lineitem WHERE year(l_shipdate) = 1996 OR year(l_shipdate) = 1997 AND (l_quantity > 25 OR l_orderkey % 3 = 0) GROUP BY 1, 2),
-pooled AS (SELECT sum(x) FILTER (y = 1997) / sum(n) FILTER (y = 1997) - sum(x) FILTER (y = 1996) / sum(n) FILTER (y = 1996) AS d, count(DISTINCT cell_id) AS k FROM s),
-child AS (SELECT c.cell_id, c.x / c.n - p.x / p.n AS r FROM s c JOIN s p ON c.cell_id = p.cell_id AND c.y = 1997 AND p.y = 1996 WHERE c.n >= 30 AND p.n >= 30 AND abs(c.x / c.n - p.x / p.n) >= 0.005),
+@query("""WITH r AS (SELECT coalesce(l_shipdate < TIMESTAMP '1996-01-01', false) AS early, l_quantity AS q FROM lineitem), a AS (SELECT early, q + CASE WHEN early THEN 0 ELSE 0.5 END AS q FROM r),
+s AS (SELECT early, 'size:' || CASE WHEN q > 25.5 THEN 'bulk' ELSE 'small' END AS cell_id, count(*) AS n, sum(q) AS x FROM (SELECT * FROM a UNION ALL SELECT * FROM a WHERE NOT early AND q <= 25.5) GROUP BY 1, 2),
+pooled AS (SELECT sum(x) FILTER (NOT early) / sum(n) FILTER (NOT early) - sum(x) FILTER (early) / sum(n) FILTER (early) AS d, count(DISTINCT cell_id) AS k FROM s),
+child AS (SELECT c.cell_id, c.x / c.n - p.x / p.n AS r FROM s c JOIN s p ON c.cell_id = p.cell_id AND NOT c.early AND p.early WHERE c.n >= 30 AND p.n >= 30 AND abs(c.x / c.n - p.x / p.n) >= 0.005),
 g AS (SELECT count(*) AS n, min(sign(r)) AS lo, max(sign(r)) AS hi FROM child)
 SELECT 'size' AS parent_cell_id, round(d, 6) AS pooled_rate_delta, cell_id AS child_cell_id, round(r, 6) AS rate_delta FROM child, g, pooled WHERE k >= 2 AND abs(d) >= 0.005 AND g.n >= 2 AND lo = hi AND lo <> sign(d)""")
 def simpsons_paradox(spark, sf_dir):
@@ -246,19 +253,34 @@ def sibling_rank(spark, sf_dir):
     return rounded(N.sibling_rank(snapshot(spark, sf_dir, projection={"count"})))
 
 
-@query(f"""WITH {_PAIR}, {_DRIVERS.format(m='count')}, r AS (SELECT cell_id, count AS pv, (rank() OVER (PARTITION BY dimension ORDER BY count) - 1) / count(*) OVER (PARTITION BY dimension) AS percentile_rank, count / sum(count) OVER (PARTITION BY dimension) AS share_of_dimension FROM c),
+@query(f"""WITH {_PAIR_DIGEST}, {_DRIVERS.format(m='count')}, r AS (SELECT cell_id, dimension, key, count AS pv, (rank() OVER (PARTITION BY dimension ORDER BY count) - 1) / count(*) OVER (PARTITION BY dimension) AS percentile_rank, count / sum(count) OVER (PARTITION BY dimension) AS share_of_dimension, v_mean, v_p50, v_p95, v_p99 FROM c),
 z AS (SELECT count(*) AS n, avg(count) AS m, stddev_pop(count) AS s FROM p WHERE dimension = 'event_type')
-SELECT r.cell_id, pv, round(percentile_rank, 6) AS percentile_rank, round(share_of_dimension, 6) AS share_of_dimension, CAST(previous_value AS DOUBLE) AS previous_value, round(current_value - previous_value, 6) AS delta, round(coalesce((current_value - previous_value) / nullif(total_current - total_previous, 0), 0), 6) AS share_of_total_delta, round(CASE WHEN n > 1 THEN CASE WHEN s <= 1e-9 THEN 0 ELSE (pv - m) / s END END, 6) AS sibling_z FROM r JOIN u USING (cell_id), t, z WHERE r.cell_id = 'event_type:click'""")
+SELECT r.cell_id, r.dimension, r.key, pv, round(percentile_rank, 6) AS percentile_rank, round(share_of_dimension, 6) AS share_of_dimension, CAST(previous_value AS DOUBLE) AS previous_value, round(current_value - previous_value, 6) AS delta, round(0.35 * pv + 0.65 * previous_value, 6) AS ewma_baseline, round(CASE WHEN n > 1 THEN CASE WHEN s <= 1e-9 THEN 0 ELSE (pv - m) / s END END, 6) AS sibling_z,
+round(coalesce((current_value - previous_value) / nullif(total_current - total_previous, 0), 0), 6) AS share_of_total_delta, round(v_mean, 6) AS mean, round(v_p50, 6) AS median, round(v_p95, 6) AS p95, round(v_p99, 6) AS p99, CASE WHEN v_mean <= 0 OR v_p50 <= 0 THEN 'Unknown' WHEN v_mean / v_p50 >= 1.25 THEN 'RightSkewed' WHEN v_mean / v_p50 <= 0.8 THEN 'LeftSkewed' ELSE 'Symmetric' END AS skew
+FROM r JOIN u USING (cell_id), t, z WHERE r.cell_id = 'event_type:click'""")
 def cell_explain(spark, sf_dir):
-    p, c = pair(spark, sf_dir, frozenset({"count"}))
-    return rounded(N.explain(c, "event_type:click", p))
+    """The co-movements and bullets are left out here; comovement_cell has the former, tests the latter."""
+    p, c = pair(spark, sf_dir, None)
+    row = N.explain(c, "event_type:click", p, digest="v")
+    return rounded(row.drop("comovements", "bullets").select("*", *[f"shape.{k}" for k in ("mean", "median", "p95", "p99", "skew")]).drop("shape"))
 
 
-@query(f"""WITH {_PAIR} SELECT 'anomaly' AS section, cell_id, round(min(score), 6) AS score FROM (SELECT * FROM ({_RANKED}) ORDER BY round(score, 9) DESC, o, cell_id LIMIT 5) GROUP BY cell_id
-UNION ALL SELECT 'trend', cell_id, round(signal / count, 6) FROM c WHERE count > 0""")
+_PARADOX = """x AS (SELECT coalesce(c.dimension, p.dimension) AS dim, c.cell_id AS cid, p.cell_id AS pid, p.count AS np, c.count AS nc, p.signal AS xp, c.signal AS xc FROM p FULL JOIN c ON p.cell_id = c.cell_id),
+pooled AS (SELECT dim, sum(xc) / sum(nc) - sum(xp) / sum(np) AS d FROM x GROUP BY dim HAVING count(*) >= 2 AND sum(np) > 0 AND sum(nc) > 0),
+child AS (SELECT dim, xc / nc - xp / np AS r FROM x WHERE cid IS NOT NULL AND pid IS NOT NULL AND np >= 30 AND nc >= 30),
+g AS (SELECT dim, count(*) AS n, min(sign(r)) AS lo, max(sign(r)) AS hi FROM child WHERE abs(r) >= 0.005 GROUP BY dim),
+paradox AS (SELECT dim, d FROM pooled JOIN g USING (dim) WHERE abs(d) >= 0.005 AND n >= 2 AND lo = hi AND lo <> sign(d))"""
+
+
+@query(f"""WITH {_PAIR}, top AS (SELECT * FROM ({_RANKED}) ORDER BY round(score, 9) DESC, o, cell_id LIMIT 5), {_PARADOX}
+SELECT 'anomaly' AS section, NULL AS kind, cell_id, round(min(score), 6) AS score FROM top GROUP BY cell_id
+UNION ALL SELECT 'trend', NULL, cell_id, round(signal / count, 6) FROM c WHERE count > 0
+UNION ALL SELECT 'flag', kind, cell_id, round(score, 6) FROM top WHERE kind <> 'EwmaTrendShift'
+UNION ALL SELECT * FROM (SELECT 'recommended', kind, cell_id, round(score, 6) FROM top ORDER BY round(score, 9) DESC, o, cell_id LIMIT 1)
+UNION ALL SELECT unnest(['simpson', 'flag']), 'SimpsonsParadox', dim, round(d, 6) FROM paradox""")
 def analyze_summary(spark, sf_dir):
     p, c = pair(spark, sf_dir)
-    return rounded(N.analyze_summary(c, p).where("section <> 'simpson'"))
+    return rounded(N.analyze_summary(c, p))
 
 
 @query(f"SELECT i, CAST(coalesce(v[i], 0) AS FLOAT) AS v FROM (SELECT list(count ORDER BY count DESC) AS v FROM ({_snap()})), range(1, 33) t(i)")
@@ -326,7 +348,8 @@ def sparkline(spark, sf_dir):
     return series(history(spark, sf_dir)).select("cell_id", S.sparkline(F.col("series")).alias("line"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SERIES}, m AS (SELECT cell_id, max(v) AS hi FROM d GROUP BY 1)
+SELECT cell_id, string_agg(repeat('#', CAST(ceil(coalesce(v / nullif(hi, 0), 0) * 20) AS INTEGER)), chr(10) ORDER BY k) AS bars FROM d JOIN m USING (cell_id) GROUP BY cell_id""")
 def histogram(spark, sf_dir):
     return series(history(spark, sf_dir)).select("cell_id", S.histogram_bars(F.col("series")).alias("bars"))
 
@@ -341,7 +364,8 @@ def messages(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame
     return table(spark, sf_dir, "lineitem").where(where).select(*[F.expr(v).alias(k) for k, v in columns.items()])
 
 
-def campaign(spark: SparkSession, sf_dir: str, where: str = "l_shipdate >= TIMESTAMP '1996-01-01'") -> Snapshot:
+def campaign(spark: SparkSession, sf_dir: str, where: str = "true") -> Snapshot:
+    """All message events; where cuts them only to compare a time with the one before."""
     return Snapshot(rollup(messages(spark, sf_dir, where), I.message_schema()), datetime(2024, 1, 31), "delivery_rate")
 
 
@@ -349,7 +373,7 @@ _MESSAGES = """SELECT lower(l_returnflag) AS carrier, lower(l_linestatus) AS mes
 CASE WHEN l_suppkey % 5 = 0 THEN 2 ELSE 0 END AS cancelled, CAST(l_linenumber % 2 AS BIGINT) AS replies, CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS opt_outs FROM lineitem WHERE {where}"""
 
 
-def _campaign(where: str = "l_shipdate >= TIMESTAMP '1996-01-01'") -> str:
+def _campaign(where: str = "true") -> str:
     sums = ", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in I.COUNTS[1:])
     failed = "(expired + undeliv + rejectd + spam)"
     return f"""SELECT dimension, key, delivered / nullif(delivered + {failed}, 0) AS delivery_rate, {failed} / nullif(delivered + {failed}, 0) AS failure_rate, rejectd / nullif(delivered + {failed}, 0) AS rejectd_rate, spam / nullif(delivered + {failed}, 0) AS spam_rate, coalesce(replies / nullif(delivered, 0), 0) AS reply_rate, coalesce(opt_outs / nullif(delivered, 0), 0) AS opt_out_rate, delivered + {failed} + cancelled AS sent, {', '.join(I.COUNTS[1:])} FROM (
@@ -357,8 +381,9 @@ SELECT dimension, key, {sums} FROM (SELECT 'carrier' AS dimension, carrier AS ke
 UNION ALL SELECT 'dow', CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend' ELSE 'weekday' END, * FROM m UNION ALL SELECT 'hod', strftime(ts, '%H'), * FROM m) GROUP BY dimension, key)""".replace(" FROM m", f" FROM ({_MESSAGES.format(where=where)}) m")
 
 
-_BEFORE = "l_shipdate < TIMESTAMP '1996-01-01'"
+_AFTER = "l_shipdate >= TIMESTAMP '1996-01-01'"
 _S = f"s AS ({_campaign()})"
+_S_AFTER = f"s AS ({_campaign(_AFTER)})"
 _TOTALS = "t AS (SELECT *, greatest(0, sent - cancelled) AS attempted, expired + undeliv + rejectd + spam AS failed FROM (SELECT " + ", ".join(f"sum({c}) AS {c}" for c in I.COUNTS) + " FROM s WHERE dimension = 'carrier'))"
 _SEGMENTS = "g AS (SELECT key, s.sent, s.delivery_rate, s.failure_rate, s.expired + s.undeliv + s.rejectd + s.spam AS failed FROM s, t WHERE dimension = 'carrier_message_type' AND s.sent >= greatest(1000, t.sent * 0.001))"
 _BANDS = "SELECT lower(l_returnflag) AS carrier, lower(l_linestatus) AS message_type, l_discount AS rate FROM lineitem"
@@ -422,12 +447,12 @@ b AS (SELECT * FROM (SELECT c AS carrier, t AS message_type, p25, median, p75, p
 _LOOKED = """l AS (SELECT dimension, key, metric, value, p25, median, p75, peer_count FROM (SELECT *, CASE dimension WHEN 'carrier' THEN key WHEN 'carrier_message_type' THEN split_part(key, '|', 1) WHEN 'message_type' THEN '*' END AS bc, CASE dimension WHEN 'message_type' THEN key WHEN 'carrier_message_type' THEN split_part(key, '|', 2) WHEN 'carrier' THEN '*' END AS bt FROM (SELECT * FROM s UNPIVOT (value FOR metric IN (""" + ", ".join((*I.RATES, *I.COUNTS)) + """)))) x LEFT JOIN b ON x.bc = b.carrier AND x.bt = b.message_type AND x.metric = 'delivery_rate')"""
 
 
-@query(f"WITH {_S}, {_BAND_ROWS}, {_LOOKED} SELECT dimension, key, metric, round(value, 6) AS value, round(p25, 6) AS p25, round(median, 6) AS median, round(p75, 6) AS p75, coalesce(peer_count, 0) AS peer_count FROM l")
+@query(f"WITH {_S_AFTER}, {_BAND_ROWS}, {_LOOKED} SELECT dimension, key, metric, round(value, 6) AS value, round(p25, 6) AS p25, round(median, 6) AS median, round(p75, 6) AS p75, coalesce(peer_count, 0) AS peer_count FROM l")
 def benchmark_lookup(spark, sf_dir):
-    return rounded(I.benchmark_lookup(campaign(spark, sf_dir).long().drop("generated_at"), bands(spark, sf_dir))).fillna(0, ["peer_count"])
+    return rounded(I.benchmark_lookup(campaign(spark, sf_dir, _AFTER).long().drop("generated_at"), bands(spark, sf_dir))).fillna(0, ["peer_count"])
 
 
-_OBSERVED = f"""{_S}, {_BAND_ROWS}, {_LOOKED}, h AS (SELECT dimension, key, metric, value AS self_expected FROM (SELECT * FROM ({_campaign(_BEFORE)}) UNPIVOT (value FOR metric IN ({', '.join((*I.RATES, *I.COUNTS))})))),
+_OBSERVED = f"""{_S_AFTER}, {_BAND_ROWS}, {_LOOKED}, h AS (SELECT dimension, key, metric, value AS self_expected FROM (SELECT * FROM ({_campaign(_BEFORE)}) UNPIVOT (value FOR metric IN ({', '.join((*I.RATES, *I.COUNTS))})))),
 o AS (SELECT dimension, key AS cell_key, metric, value AS actual, self_expected, median AS cohort_median, p25 AS cohort_p25, p75 AS cohort_p75, coalesce(peer_count, 0) AS cohort_peer_count, value - coalesce(self_expected, median, 0) AS deviation FROM l LEFT JOIN h USING (dimension, key, metric)),
 k AS (SELECT *, CASE WHEN abs(actual - self_expected) < 0.005 THEN 'SeasonalExpected' WHEN cohort_p25 IS NULL THEN CASE WHEN self_expected IS NULL OR abs(deviation) < 0.005 THEN 'WithinNormal' ELSE 'SelfAnomaly' END
 WHEN actual BETWEEN cohort_p25 AND cohort_p75 THEN CASE WHEN self_expected IS NULL THEN 'WithinNormal' ELSE 'SelfAnomaly' END WHEN actual < cohort_p25 THEN 'BelowPeers' ELSE 'AbovePeers' END AS kind, CASE WHEN metric IN ('delivery_rate', 'reply_rate') THEN 1 WHEN metric LIKE '%rate' THEN -1 ELSE 0 END AS dir FROM o),
@@ -435,7 +460,7 @@ obs AS (SELECT * EXCLUDE (dir), abs(deviation) >= 0.005 AS is_material, CASE WHE
 
 
 def _observed(spark, sf_dir) -> DataFrame:
-    return I.observations(campaign(spark, sf_dir).long(), campaign(spark, sf_dir, _BEFORE).long(), bands(spark, sf_dir))
+    return I.observations(campaign(spark, sf_dir, _AFTER).long(), campaign(spark, sf_dir, _BEFORE).long(), bands(spark, sf_dir))
 
 
 @query(f"WITH {_OBSERVED} SELECT dimension, cell_key, metric, round(actual, 6) AS actual, round(self_expected, 6) AS self_expected, round(cohort_median, 6) AS cohort_median, round(cohort_p25, 6) AS cohort_p25, round(cohort_p75, 6) AS cohort_p75, cohort_peer_count, round(deviation, 6) AS deviation, kind, is_material, is_favorable FROM obs")
@@ -445,10 +470,10 @@ def observations(spark, sf_dir):
 
 @query(f"WITH {_OBSERVED} SELECT o.dimension, o.cell_key, metric, round(deviation, 6) AS deviation, s.sent, round(abs(deviation) * log10(1 + s.sent), 6) AS rank FROM obs o JOIN s ON o.dimension = s.dimension AND o.cell_key = s.key WHERE is_material AND is_favorable = false ORDER BY round(abs(deviation) * log10(1 + s.sent), 9) DESC, o.dimension, o.cell_key, metric LIMIT 8")
 def ranked_anomalies(spark, sf_dir):
-    return rounded(I.ranked_anomalies(_observed(spark, sf_dir), campaign(spark, sf_dir).rows))
+    return rounded(I.ranked_anomalies(_observed(spark, sf_dir), campaign(spark, sf_dir, _AFTER).rows))
 
 
-@query()
+@query(f"""WITH {_OBSERVED} SELECT dimension, cell_key, metric, concat(array_to_string(list_transform(string_split(metric, '_'), lambda w: upper(w[1]) || w[2:]), ' '), ' of ', cell_key, CASE WHEN is_favorable THEN ' improved' WHEN NOT is_favorable THEN ' declined' ELSE ' unchanged' END, ' at ', format('{{:,.1f}}', actual * 100), ' % (', format('{{:,.1f}}', deviation * 100), ' % off), ', kind) AS text FROM obs""")
 def observation_text(spark, sf_dir):
     return I.observation_text(_observed(spark, sf_dir))
 
@@ -560,7 +585,7 @@ def stream_rollup(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     folder, one = (path, "*") if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isDirectory() else (sf_dir, "events.parquet")
     stream = spark.readStream.schema(static.schema).option("pathGlobFilter", one).parquet(folder)
-    running = E.stream_rollup(stream, by_type().count().sum("value").build(), f"{shared_folder(spark)}/{name}", name)
-    running.awaitTermination()
-    return rounded(spark.table(name))
+    at = f"{shared_folder(spark)}/{name}"
+    E.stream_rollup(stream, by_type().count().sum("value").build(), f"{at}/state", f"{at}/cells").awaitTermination()
+    return rounded(E.stream_cells(spark, f"{at}/cells"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -11,6 +12,18 @@ from strataform.functions.scalar import normalize, ratio
 
 KINDS = ("Count", "Sum", "Min", "Max", "CountWhen", "Average", "Ratio", "TDigest", "HyperLogLog")
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: A percentile sketch errs by one rank in so many and holds about so many values at most, whatever a cell's rows are; up to
+#: half of it in rows it is exact.
+ACCURACY = 200_000
+
+
+def percentiles(column: str, ranks: Iterable[float], exact: bool = False) -> list[Column]:
+    """Discrete percentiles of a column: from one sketch for all ranks, or exact ones, which hold a group's distinct values."""
+    ranks = list(ranks)
+    if exact:
+        return [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})") for q in ranks]
+    sketch = f"percentile_approx({column}, array({', '.join(map(str, ranks))}), {ACCURACY})"
+    return [F.expr(f"{sketch}[{i}]") for i in range(len(ranks))]
 
 
 def mean_name(name: str) -> str:
@@ -33,12 +46,13 @@ class Dimension:
 
 @dataclass(frozen=True)
 class Metric:
-    """inputs: the columns that the kind reads; exact: discrete percentiles and distinct counts without error."""
+    """inputs: the columns that the kind reads; exact: percentiles and distinct counts without error, in memory that grows with
+    a cell's distinct values."""
 
     name: str
     kind: str
     inputs: tuple[Column, ...] = field(default=(), compare=False)
-    exact: bool = True
+    exact: bool = False
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -70,10 +84,12 @@ class Metric:
         elif self.kind == "HyperLogLog":
             out = {unique_name(self.name): F.count_distinct(x) if self.exact else F.expr(f"hll_sketch_estimate(hll_sketch_agg({prefix}0, 14))")}
         elif self.kind == "TDigest":
-            rank = "percentile_disc({q}) WITHIN GROUP (ORDER BY {x})" if self.exact else "percentile_approx({x}, {q}, 10000)"
-            out = {mean_name(self.name): F.avg(x)} | {f"{self.name}_{k}": F.expr(rank.format(q=q, x=f"{prefix}0")) for k, q in QUANTILES.items()}
+            found = percentiles(f"{prefix}0", QUANTILES.values(), self.exact)
+            out = {mean_name(self.name): F.avg(x)} | {f"{self.name}_{k}": c for k, c in zip(QUANTILES, found)}
+        elif self.kind == "Min":  # one NaN makes it NaN, as it does a maximum
+            out = {self.name: F.when(F.bool_or(F.isnan(x)), F.lit(float("nan"))).otherwise(F.min(x))}
         else:
-            out = {self.name: {"Sum": F.sum, "Min": F.min, "Max": F.max, "Average": F.avg}[self.kind](x)}
+            out = {self.name: {"Sum": F.sum, "Max": F.max, "Average": F.avg}[self.kind](x)}
         return [F.coalesce(out[n].cast("double"), F.lit(0.0)).alias(n) for n in names]
 
     def input_columns(self, prefix: str) -> list[Column]:
@@ -120,7 +136,7 @@ class RollupSchemaBuilder:
         self._dimensions.append(Dimension(name.strip().lower() or "unknown", self._column(name if key is None else key)))
         return self
 
-    def _metric(self, kind: str, name: str | None, *inputs: Column | str, exact: bool = True) -> RollupSchemaBuilder:
+    def _metric(self, kind: str, name: str | None, *inputs: Column | str, exact: bool = False) -> RollupSchemaBuilder:
         if name is None:
             if not isinstance(inputs[0], str):
                 raise ValueError("a metric over an expression needs a name")
@@ -149,8 +165,8 @@ class RollupSchemaBuilder:
     def ratio(self, numerator: Column | str, denominator: Column | str, name: str) -> RollupSchemaBuilder:
         return self._metric("Ratio", name, numerator, denominator)
 
-    def percentile_digest(self, selector: Column | str, name: str | None = None, exact: bool = True) -> RollupSchemaBuilder:
-        """exact=False bounds the memory of a cell whatever its number of distinct values."""
+    def percentile_digest(self, selector: Column | str, name: str | None = None, exact: bool = False) -> RollupSchemaBuilder:
+        """The memory of a cell is bounded unless exact."""
         return self._metric("TDigest", name, selector, exact=exact)
 
     def hyper_log_log(self, selector: Column | str, name: str | None = None, exact: bool = False) -> RollupSchemaBuilder:

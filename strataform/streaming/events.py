@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -63,9 +63,36 @@ def diagnostics(events: DataFrame) -> DataFrame:
     return events.agg(F.count_if(~F.col("late")).alias("events_processed"), F.count_if("late").alias("late_event_drops"))
 
 
-def stream_rollup(events: DataFrame, schema: RollupSchema, checkpoint: str, name: str, **options) -> StreamingQuery:
-    """The rollup of a streaming DataFrame, complete after each trigger, as a table in memory; state is the cells alone."""
-    return rollup(events, schema, **options).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_rollup(events: DataFrame, schema: RollupSchema, checkpoint: str, path: str, **options) -> StreamingQuery:
+    """The rollup of a streaming DataFrame, run until it has taken everything. State is the cells alone; after each trigger the
+    cells that changed are written under path, a folder a batch, which a repeated batch overwrites. stream_cells() reads them."""
+
+    def keep(cells: DataFrame, batch: int) -> None:
+        cells.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return rollup(events, schema, **options).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Each cell as the last batch that changed it left it."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in ("dimension", "key", "batch")]
+    return rows.groupBy("dimension", "key").agg(F.max_by(F.struct(*values), "batch").alias("_c")).select("dimension", "key", *[F.col(f"_c.{c}").alias(c) for c in values])
+
+
+def refresh_insights(events: DataFrame, schema: RollupSchema, checkpoint: str, path: str, refresh: Callable[[DataFrame], None], failed: Callable[[Exception], None], every: str | None = "500 milliseconds", **options) -> StreamingQuery:
+    """Calls refresh with the cells after each trigger. What arrives while it runs waits and is taken together, so the latest
+    state wins; an error of refresh goes to failed and the stream goes on. Without every it runs until all is taken."""
+
+    def keep(cells: DataFrame, batch: int) -> None:
+        cells.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        try:
+            refresh(stream_cells(cells.sparkSession, path))
+        except Exception as e:  # noqa: BLE001  insights never stop the counting
+            failed(e)
+
+    stream = rollup(events, schema, **options).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return stream.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def windowed_stream(events: DataFrame, schema: RollupSchema, ts: str, size: str, lateness: str) -> DataFrame:

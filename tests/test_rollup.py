@@ -58,6 +58,35 @@ def test_digest_and_distinct(spark):
     assert 95 <= cells(rollup(users, RollupSchema.builder().dimension("r").hyper_log_log("u", "users").build()))["r", "r"]["users_unique"] <= 105
 
 
+def test_percentiles_are_bounded(spark, monkeypatch):
+    """The sketch against exact ranks, at a small accuracy, over many distinct values of one cell."""
+    from strataform.plans import schema as plans
+
+    monkeypatch.setattr(plans, "ACCURACY", 200)
+    n = 100_000
+    df = spark.range(n).select(F.lit("r").alias("r"), ((F.col("id") * 7919) % n).cast("double").alias("x")).repartition(7)
+    b = lambda **k: RollupSchema.builder().dimension("r").percentile_digest("x", **k).build()
+    about, exact = (cells(rollup(df, b(**k)))["r", "r"] for k in ({}, {"exact": True}))
+    for q, name in ((0.5, "x_p50"), (0.95, "x_p95"), (0.99, "x_p99")):
+        assert exact[name] == -(-q * n // 1) - 1 and abs(about[name] - exact[name]) <= n / 200 + 1
+    plan = rollup(df, b())._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_disc" not in plan and plan.count("percentile_approx") <= 3
+
+
+def test_nan_makes_the_least_nan(spark):
+    df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("b", 2.0), ("b", None)], "k string, x double")
+    got = cells(rollup(df, RollupSchema.builder().dimension("k").min("x", "lo").max("x", "hi").build()))
+    assert all(v != v for v in got["k", "a"].values()) and got["k", "b"] == {"lo": 2.0, "hi": 2.0}
+
+
+def test_sums_before(spark):
+    from strataform.functions.lineage import sums_before
+
+    rows = [("a", i, (i * 7) % 5) for i in range(200)] + [("b", 3, 2), (None, 1, 1)]
+    got = {(r.k, r.i): r.s for r in sums_before(spark.createDataFrame(rows, "k string, i long, v long").repartition(5), "k", ["i"], F.col("v"), "s").collect() if r.k}
+    assert got == {(k, i): sum(v for x, j, v in rows if x == k and j < i) for k, i, _ in rows if k}
+
+
 def test_projection_rules(spark):
     df = spark.createDataFrame([("east", 42.0)], "region string, amount double")
     schema = RollupSchema.builder().dimension("region").count().sum("amount", "amount_sum").percentile_digest("amount").hyper_log_log("region", "u").build()
@@ -83,11 +112,11 @@ def test_spill_of_cells_round_trip(spark, tmp_path):
     assert store.read_snapshot(spark, str(tmp_path / "long")).count() == 4
 
 
-def test_prune(tmp_path):
+def test_prune(spark, tmp_path):
     for i in range(4):
         (tmp_path / f"{i}.parquet").write_text("x")
-    assert len(store.prune(str(tmp_path), max_files=1)) == 3
-    assert len(store.prune(str(tmp_path), max_age=timedelta(seconds=-1))) == 1
+    assert len(store.prune(spark, str(tmp_path), max_files=1)) == 3
+    assert len(store.prune(spark, str(tmp_path), max_age=timedelta(seconds=-1))) == 1
 
 
 def test_drivers_and_ranking(spark):
@@ -121,6 +150,40 @@ def test_shape_and_explanation(spark):
     p, c = snap(spark, [("channel", "sms", 100), ("channel", "email", 100)]), snap(spark, [("channel", "sms", 500), ("channel", "email", 90)])
     row = N.explain(c, "channel:sms", p).first()
     assert row.pv == 500 and row.share_of_dimension == pytest.approx(500 / 590) and row.percentile_rank == 0.5
+    assert (row.previous_value, row.delta, row.ewma_baseline, row.sibling_z, row.share_of_total_delta) == (100.0, 400.0, pytest.approx(240.0), 0.0, pytest.approx(400 / 390))
+    assert row["shape"] is None and row.comovements == [] and any("Up by 400" in x for x in row.bullets)
+    with pytest.raises(KeyError):
+        N.explain(c, "channel:none", p)
+    alone = N.explain(c, "Channel:SMS").first()
+    assert alone.delta is None and len(alone.bullets) == 1
+    plan = N.explain(c, "channel:sms", p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
+def test_explanation_with_shape_and_history(spark):
+    values = {"east": [10, 20, 30, 40], "latency": [5, 5, 25, 35], "flat": [1, 1, 1, 1]}
+    history = spark.createDataFrame([(i, "r", k, float(v)) for k, s in values.items() for i, v in enumerate(s)], ["snapshot_idx", "dimension", "key", "count"])
+    now = snap(spark, [("r", "east", 40, 40, 12, 55, 120), ("r", "latency", 35, 1, 1, 1, 1)], ("count", "v_mean", "v_p50", "v_p95", "v_p99"))
+    row = N.explain(now, "r:east", None, history, 4, "v").first()
+    assert row["shape"].skew == "RightSkewed" and row["shape"].heavy_tail and row.comovements[0].correlation > 0.6
+    assert any("r:latency" in x for x in row.bullets) and any("misleads" in x for x in row.bullets)
+    assert N.explain(now, "r:east", None, history, 2).first().comovements == []
+
+
+def test_no_window_over_a_dimension(spark):
+    s = snap(spark, [("a", str(i), i % 7) for i in range(50)])
+    assert "Window" not in N.surprise(s)._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.cell_id: r for r in N.sibling_rank(s).collect()}
+    values = [i % 7 for i in range(50)]
+    assert all(got[f"a:{i}"].percentile_rank == sum(v < i % 7 for v in values) / 50 and got[f"a:{i}"].share_of_dimension == pytest.approx((i % 7) / sum(values)) for i in range(50))
+
+
+def test_summary_sections(spark):
+    make = lambda rows: snap(spark, [("channel", *r) for r in rows], ("count", "signal"))
+    got = N.analyze_summary(make([("sms", 150, 18), ("email", 50, 27.5)]), make([("sms", 100, 10), ("email", 100, 50)])).collect()
+    assert [(r.kind, r.cell_id) for r in got if r.section == "simpson"] == [("SimpsonsParadox", "channel")]
+    assert {r.kind for r in got if r.section == "flag"} >= {"SimpsonsParadox"} and sum(r.section == "recommended" for r in got) == 1
+    assert {r.cell_id for r in got if r.section == "trend"} == {"channel:sms", "channel:email"}
 
 
 def test_missing_primary_metric_is_zero(spark):
@@ -204,3 +267,25 @@ def test_alerts_and_cache(spark):
     cache = N.SimilarityCache()
     cache.put([3.0, 1.0], "r")
     assert cache.get([6.0, 2.0]) == "r" and cache.get([0.0, 1.0]) is None
+
+
+def test_shared_cause(spark):
+    """A cell that moves together with others and left its own course has a shared cause; one that stayed is as expected."""
+    from strataform.operators import industry as I
+
+    long = "dimension string, key string, metric string, value double"
+    now = spark.createDataFrame([("carrier", k, "delivery_rate", v) for k, v in (("mtn", 0.5), ("cellc", 0.5), ("telkom", 0.9))], long)
+    before = spark.createDataFrame([("carrier", k, "delivery_rate", 0.9) for k in ("mtn", "cellc", "telkom")], long)
+    bands = spark.createDataFrame([("mtn", "*", "delivery_rate", 0.4, 0.5, 0.6, 9)], "carrier string, message_type string, metric string, p25 double, median double, p75 double, peer_count long")
+    moving = spark.createDataFrame([("Carrier:MTN",), ("carrier:telkom",)], "cell_id string")
+    got = {r.cell_key: (r.kind, r.is_favorable) for r in I.observations(now, before, bands, moving).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"mtn": "SharedCause", "cellc": "SelfAnomaly", "telkom": "SeasonalExpected"}
+    assert {r.cell_key: r.kind for r in I.observations(now, before, bands).collect()}["mtn"] == "SelfAnomaly"
+
+
+def test_flow_shares(spark):
+    from strataform.operators import industry as I
+
+    rows = [("carrier", "a", 100.0, 70.0, 5.0, 5.0, 8.0, 2.0, 10.0, 1.0, 1.0)]
+    got = {(r.stage, r.outcome): r.share for r in I.flow_shares(spark.createDataFrame(rows, "dimension string, key string, sent double, delivered double, expired double, undeliv double, rejectd double, spam double, cancelled double, replies double, opt_outs double")).collect()}
+    assert got["sent", "cancelled"] == 0.1 and got["attempted", "delivered"] == pytest.approx(70 / 90) and sum(v for (s, _), v in got.items() if s == "attempted") == pytest.approx(1)
