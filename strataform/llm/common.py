@@ -1,8 +1,7 @@
-"""What the operators share: checkpoints, Arrow batches cut to size, pass-through filters."""
+"""What the operators share: files, lookups, Arrow batches cut to size, pass-through filters."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,30 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataform.functions.lineage import cut as cut_lineage  # noqa: F401
+from strataform.functions.lineage import shared_folder as shared_dir  # noqa: F401
+
 #: Bytes of text that one vectorised step looks at; a longer text makes a step of its own.
 STEP_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset the one that was set on the
-    context, or a temporary one in local mode, where driver and executors are one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    if not known.isDefined():
-        if named is None and not sc.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-        known = sc._jsc.sc().getCheckpointDir()
-    return named or known.get()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder: later reads survive lost executors and don't compute it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def hadoop_path(spark: SparkSession, path: str):
     """The file system of a path, and the path, as the JVM's objects: any store that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

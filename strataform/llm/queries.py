@@ -23,7 +23,8 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = line_dedup.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ e AS (SELECT s.doc_id, s.pos, s.upto, s.w, d.lines, list_position(list_transform
 win AS (SELECT DISTINCT doc_id, lo, hi, array_to_string(lines[lo:hi], chr(10)) AS k FROM (SELECT doc_id, pos AS lo, hi, lines FROM e WHERE hi > 0 UNION ALL SELECT doc_id, lo, pos AS hi, lines FROM e WHERE upto >= 50)),
 f AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY k ORDER BY doc_id, lo) > 1 AS later FROM win),
 gone AS (SELECT DISTINCT s.doc_id, s.no FROM f JOIN s ON s.doc_id = f.doc_id AND s.pos BETWEEN f.lo AND f.hi WHERE f.later)
-SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE gone.no IS NULL), '') AS text, count(*) AS n_lines, count(gone.no) AS n_removed, list_transform(coalesce(list(l.no ORDER BY l.no) FILTER (WHERE gone.no IS NOT NULL), []), lambda x: CAST(x AS INTEGER)) AS removed
+SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE gone.no IS NULL), '') AS text, count(*) AS n_lines, count(gone.no) AS n_removed, coalesce(string_agg(CAST(l.no AS VARCHAR), ',' ORDER BY l.no) FILTER (WHERE gone.no IS NOT NULL), '') AS removed
 FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.no = l.no GROUP BY l.doc_id""",
     "op5_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),

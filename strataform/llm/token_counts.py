@@ -2,7 +2,8 @@
 
 Documents are counted by encoded length; sums over the greater lengths then answer, for any context limit, how many
 documents exceed it, how many tokens are left when each document is cut there, and where quantiles lie. Null counts as
-empty: length 0. An empty table gives no rows."""
+empty: length 0. Rows that repeat count each, ids aren't read, nor any other column than the text; a text of any length is
+one number. An empty table gives no rows."""
 
 from __future__ import annotations
 
