@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 #: Microseconds from 0001-01-01 to 1970-01-01: windows are aligned to year 1.
 EPOCH_MICROS = 62_135_596_800_000_000
 UNKNOWN = "unknown"
+#: Unicode's white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Glyphs of a sparkline, from low to high.
 SPARK = " .:-=+*#@"
 
 
 def normalize(key: Column) -> Column:
     """Trimmed of any Unicode white space and lower-cased; null and blank become "unknown"."""
-    text = F.lower(F.regexp_replace(key.cast("string"), r"(?U)^\s+|\s+$", ""))
+    text = F.lower(F.trim(key.cast("string"), F.lit(WHITE_SPACE)))
     return F.when(text.isNull() | (text == ""), F.lit(UNKNOWN)).otherwise(text)
 
 
@@ -74,7 +76,7 @@ def day_bucket(ts: Column) -> Column:
 
 
 def hour_bucket(ts: Column) -> Column:
-    return F.date_format(ts, "HH")
+    return F.lpad(F.hour(ts).cast("string"), 2, "0")
 
 
 def ewma(series: Column, alpha: float) -> Column:

@@ -22,10 +22,18 @@ def fan_out(events: DataFrame, dimensions: Iterable[Dimension], carry: Iterable[
 
 
 def _aggregates(schema: RollupSchema, projection: set[str] | None) -> tuple[list[Column], list[Column]]:
-    carry, out = [], []
-    for i, (metric, names) in enumerate(schema.selected(projection)):
-        carry += metric.input_columns(f"m{i}_")
-        out += metric.aggregates(f"m{i}_", names)
+    """Columns to carry, and the aggregates over them. What several metrics read in the same way is carried once, so equal
+    aggregates (a denominator of several ratios) are one to the planner."""
+    carry, called, out = [], {}, []
+    for metric, names in schema.selected(projection):
+        inputs = []
+        for selector, column in zip(metric.inputs, metric.input_columns()):
+            read = (metric.read_as(), id(selector))
+            if read not in called:
+                called[read] = f"m{len(called)}"
+                carry.append(column.alias(called[read]))
+            inputs.append(called[read])
+        out += metric.aggregates(inputs, names)
     return carry, out
 
 

@@ -72,9 +72,9 @@ class Metric:
             return self.outputs() if {self.name.lower(), unique_name(self.name).lower()} & projection else []
         return [x for x in self.outputs() if x.lower() in projection]
 
-    def aggregates(self, prefix: str, names: list[str]) -> list[Column]:
-        """The aggregates behind names, over input columns called prefix0, prefix1."""
-        x, y = F.col(f"{prefix}0"), F.col(f"{prefix}1")
+    def aggregates(self, inputs: list[str], names: list[str]) -> list[Column]:
+        """The aggregates behind names, over columns that are called as inputs says."""
+        x, y = [*map(F.col, inputs), F.lit(None), F.lit(None)][:2]
         if self.kind == "Count":
             out = {self.name: F.count(F.lit(1))}
         elif self.kind == "CountWhen":
@@ -82,9 +82,9 @@ class Metric:
         elif self.kind == "Ratio":
             out = {self.name: ratio(F.sum(x.cast("double")), F.sum(y.cast("double")))}
         elif self.kind == "HyperLogLog":
-            out = {unique_name(self.name): F.count_distinct(x) if self.exact else F.expr(f"hll_sketch_estimate(hll_sketch_agg({prefix}0, 14))")}
+            out = {unique_name(self.name): F.count_distinct(x) if self.exact else F.expr(f"hll_sketch_estimate(hll_sketch_agg({inputs[0]}, 14))")}
         elif self.kind == "TDigest":
-            found = percentiles(f"{prefix}0", QUANTILES.values(), self.exact)
+            found = percentiles(inputs[0], QUANTILES.values(), self.exact)
             out = {mean_name(self.name): F.avg(x)} | {f"{self.name}_{k}": c for k, c in zip(QUANTILES, found)}
         elif self.kind == "Min":  # one NaN makes it NaN, as it does a maximum
             out = {self.name: F.when(F.bool_or(F.isnan(x)), F.lit(float("nan"))).otherwise(F.min(x))}
@@ -92,10 +92,11 @@ class Metric:
             out = {self.name: {"Sum": F.sum, "Max": F.max, "Average": F.avg}[self.kind](x)}
         return [F.coalesce(out[n].cast("double"), F.lit(0.0)).alias(n) for n in names]
 
-    def input_columns(self, prefix: str) -> list[Column]:
-        kind = {"HyperLogLog": "string", "CountWhen": "boolean"}.get(self.kind, "double")
-        columns = [normalize(c) if self.kind == "HyperLogLog" else c.cast(kind) for c in self.inputs]
-        return [c.alias(f"{prefix}{i}") for i, c in enumerate(columns)]
+    def read_as(self) -> str:
+        return {"HyperLogLog": "string", "CountWhen": "boolean"}.get(self.kind, "double")
+
+    def input_columns(self) -> list[Column]:
+        return [normalize(c) if self.kind == "HyperLogLog" else c.cast(self.read_as()) for c in self.inputs]
 
 
 @dataclass(frozen=True)
@@ -121,16 +122,20 @@ class RollupSchema:
 
 
 class RollupSchemaBuilder:
-    """Selectors are columns, or SQL expressions as strings."""
+    """Selectors are columns, or SQL expressions as strings; those with the same string are computed once."""
 
     def __init__(self) -> None:
+        self._parsed: dict[str, Column] = {}
         self._dimensions: list[Dimension] = []
         self._metrics: list[Metric] = []
         self._primary = "count"
 
-    @staticmethod
-    def _column(selector: Column | str) -> Column:
-        return F.expr(selector) if isinstance(selector, str) else selector
+    def _column(self, selector: Column | str) -> Column:
+        if not isinstance(selector, str):
+            return selector
+        if selector not in self._parsed:
+            self._parsed[selector] = F.expr(selector)
+        return self._parsed[selector]
 
     def dimension(self, name: str, key: Column | str | None = None) -> RollupSchemaBuilder:
         self._dimensions.append(Dimension(name.strip().lower() or "unknown", self._column(name if key is None else key)))

@@ -50,6 +50,25 @@ def test_ratio_average_and_zero_denominator(spark):
     assert got["k", "a"] == {"rate": pytest.approx(999 / 1010), "mean": 505.0} and got["k", "b"] == {"rate": 0.0, "mean": 0.0}
 
 
+def test_shared_inputs_are_summed_once(spark, capsys):
+    df = spark.createDataFrame([("a", 1.0, 2.0, 4.0), ("a", 2.0, 2.0, 4.0)], "k string, x double, y double, n double")
+    schema = RollupSchema.builder().dimension("k").ratio("x", "n", "rx").ratio("y", "n", "ry").sum("n").max("n", "top").min("n", "low").count_when("n", "some").hyper_log_log("n", "d").build()
+    rows = rollup(df, schema)
+    assert cells(rows)["k", "a"] == {"rx": 0.375, "ry": 0.5, "n": 8.0, "top": 4.0, "low": 4.0, "some": 2.0, "d_unique": 1.0}
+    rows.explain()
+    partial = next(x for x in capsys.readouterr().out.splitlines() if "partial_sum" in x)
+    assert partial.count("partial_sum") == 3
+
+
+def test_white_space_of_all_kinds_is_trimmed(spark):
+    kinds = [chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    keys = spark.createDataFrame([(f"{c}{c} A{c}b {c}",) for c in kinds] + [("\u200bA",), ("".join(kinds),), ("",), (None,)], "k string")
+    got = [r.k for r in keys.select(S.normalize(F.col("k")).alias("k")).collect()]
+    assert got == [f"a{c}b" for c in kinds] + ["\u200ba", "unknown", "unknown", "unknown"]
+    by_pattern = F.lower(F.regexp_replace("k", r"(?U)^\s+|\s+$", ""))
+    assert got[: len(kinds) + 1] == [r.k for r in keys.select(by_pattern.alias("k")).collect()][: len(kinds) + 1]
+
+
 def test_digest_and_distinct(spark):
     df = spark.createDataFrame([("east", x) for x in (10.0, 12.0, 14.0, 16.0, 18.0, 100.0)], "region string, ms double")
     got = cells(rollup(df, RollupSchema.builder().dimension("region").percentile_digest("ms").build()))["region", "east"]
