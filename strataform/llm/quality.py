@@ -1,6 +1,6 @@
 """Quality classifier by positive-unlabelled learning.
 
-A linear model on statistics of the text minimises the non-negative unbiased risk
+A linear model on statistics of the text and on its hashed words minimises the non-negative unbiased risk
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 with logistic loss, over trusted positives P and unlabelled documents U. The prior is the share of label 1 among all
 training labels where they hold both labels, else what a probe that tells P from U gives (its mean score over U by that
@@ -33,15 +33,17 @@ _GROUPS = np.full(256, 5, np.int64)  # 0 lower, 1 upper, 2 digit, 3 blank, 4 lin
 _GROUPS[97:123], _GROUPS[65:91], _GROUPS[48:58], _GROUPS[32], _GROUPS[9], _GROUPS[10], _GROUPS[128:] = 0, 1, 2, 3, 3, 4, 6
 _GROUPS[_PUNCT] = 7 + np.arange(len(_PUNCT))
 _N_GROUPS = 7 + len(_PUNCT)
-N_FEATURES = _N_GROUPS + 8
+N_STATS = _N_GROUPS + 8
+#: Buckets that words are hashed into, and how much their shares weigh against the statistics.
+WORD_BUCKETS, WORD_WEIGHT = 1024, 4.0
+N_FEATURES, _N_INPUTS = N_STATS + WORD_BUCKETS, 3 * N_STATS + WORD_BUCKETS
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def statistics(words: Words, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row for each text: square roots of the densities of kinds of bytes, and word statistics."""
     n, size = len(offsets) - 1, np.diff(offsets)
     doc = np.repeat(np.arange(n), size)
     kinds = np.bincount(doc * _N_GROUPS + _GROUPS[data], minlength=n * _N_GROUPS).reshape(n, _N_GROUPS).astype(np.float64)
-    words = Words(data, offsets)
     count = np.diff(words.first).astype(np.float64)
     some, per = np.maximum(count, 1), np.maximum(size, 1)
     repeats = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1]) if len(words.doc) else np.zeros(0, bool)
@@ -51,12 +53,32 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     long = np.bincount(words.doc[words.end - words.start > 12], minlength=n) / some
     letters = np.maximum(kinds[:, 0] + kinds[:, 1], 1)
     marks = kinds[:, 7:]
-    out = np.empty((n, N_FEATURES), np.float32)
+    out = np.empty((n, N_STATS), np.float32)
     out[:, :_N_GROUPS] = np.sqrt(kinds / per[:, None])
     out[:, _N_GROUPS:] = np.stack([np.log1p(count) / 10, again, distinct, size / some / 10, long, kinds[:, 1] / letters, np.log1p(marks.sum(1) / some), np.log1p(count / (kinds[:, 4] + 1)) / 5], axis=1)
     return out
 
 
+def word_shares(words: Words) -> np.ndarray:
+    """A row for each text: square roots of the shares of its words in each bucket. It has length 1 (0 without words), so it is
+    centred but not scaled; half precision is what travels."""
+    n = len(words.first) - 1
+    out = np.empty((n, WORD_BUCKETS), np.float16)
+    for a in range(0, n, 1000):
+        b = min(n, a + 1000)
+        own = slice(words.first[a], words.first[b])
+        at = (words.doc[own] - a) * WORD_BUCKETS + (words.hash[own] >> np.uint64(32)).astype(np.int64) % WORD_BUCKETS
+        counts = np.bincount(at, minlength=(b - a) * WORD_BUCKETS).reshape(b - a, WORD_BUCKETS)
+        out[a:b] = np.sqrt(counts / np.maximum(np.diff(words.first[a : b + 1]), 1)[:, None])
+    return out
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The statistics and then the word shares of each text."""
+    words = Words(data, offsets)
+    return np.concatenate([statistics(words, data, offsets), word_shares(words)], axis=1, dtype=np.float32)
+
+
 @dataclass
 class Model:
     center: np.ndarray
@@ -66,11 +88,13 @@ class Model:
     prior: float
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.center) / self.scale, -4, 4)
-        return np.concatenate([z, np.maximum(z - 1, 0), np.maximum(-1 - z, 0)], axis=1)
+        z = np.clip((x[:, :N_STATS] - self.center[:N_STATS]) / self.scale[:N_STATS], -4, 4)
+        return np.concatenate([z, np.maximum(z - 1, 0), np.maximum(-1 - z, 0), WORD_WEIGHT * (x[:, N_STATS:] - self.center[N_STATS:])], axis=1, dtype=np.float32)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.inputs(x) @ self.weights + self.bias, -30, 30)))
+        """Each row summed by itself, so that equal texts get equal scores wherever they are."""
+        sums = [(self.inputs(x[a : a + 1000]) * self.weights).sum(1) for a in range(0, len(x), 1000)]
+        return 1 / (1 + np.exp(-np.clip(np.concatenate([*sums, np.zeros(0)]) + self.bias, -30, 30)))
 
 
 def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, decay: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, float]:
@@ -79,7 +103,8 @@ def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, decay: fl
     m, v = np.zeros_like(w), np.zeros_like(w)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        fp, fu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+        own = w[:-1].astype(xp.dtype)
+        fp, fu = xp @ own + xp.dtype.type(w[-1]), xu @ own + xu.dtype.type(w[-1])
         gp_pos, gp_neg, gu_neg = sig(fp) - 1, sig(fp), sig(fu)  # d loss / d f for labels +, -, -
         rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         bracket = lambda: (np.append(xu.T @ gu_neg, gu_neg.sum()) / len(xu) - prior * np.append(xp.T @ gp_neg, gp_neg.sum()) / len(xp))
@@ -95,10 +120,10 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None, step
     model that rejects nothing."""
     both = np.concatenate([positives, unlabelled]).astype(np.float64)
     if not len(positives) or not len(unlabelled):
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(3 * N_FEATURES), 1.0, 1.0)
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(_N_INPUTS), 1.0, 1.0)
     center, scale = moments or (both.mean(0), both.std(0))
-    model = Model(center, np.maximum(scale, 1e-3), np.zeros(3 * N_FEATURES), 0.0, prior or 1.0)
-    xp, xu = model.inputs(positives.astype(np.float64)), model.inputs(unlabelled.astype(np.float64))
+    model = Model(center, np.maximum(scale, 1e-3), np.zeros(_N_INPUTS), 0.0, prior or 1.0)
+    xp, xu = model.inputs(positives), model.inputs(unlabelled)
     if prior is None:
         w, b = _descend(xp, xu, 0.5, steps // 2)
         told = lambda x: (1 / (1 + np.exp(-(x @ w + b)))).mean()
@@ -119,12 +144,14 @@ def _collect_features(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             x = features(*text_buffer(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_kind", "_h")), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "_kind", "_h", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_kind", "_h")), pa.array([r[:N_STATS].tobytes() + r[N_STATS:].astype(np.float16).tobytes() for r in x], pa.binary())], names=["_id", "_kind", "_h", "x"])
 
     kind = docs.schema["_id"].dataType.simpleString()
     rows = docs.select("_id", "_kind", F.xxhash64("text").alias("_h"), "text").mapInArrow(run, f"_id {kind}, _kind int, _h long, x binary")
     rows = rows.groupBy("_id", "_kind").agg(F.min(F.struct("_h", "x")).alias("m")).select("_kind", "m.x").collect()
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float32).reshape(-1, N_FEATURES)
+    x = np.empty((len(rows), N_FEATURES), np.float32)
+    for own, r in zip(x, rows):
+        own[:N_STATS], own[N_STATS:] = np.frombuffer(r.x, np.float32, N_STATS), np.frombuffer(r.x, np.float16, offset=4 * N_STATS)
     return x, np.array([r._kind for r in rows], np.int64)
 
 
@@ -135,10 +162,11 @@ def feature_moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, mean, square = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES)
         for batch in small_batches(batches, "text"):
-            x = features(*text_buffer(batch.column("text"))).astype(np.float64)
-            step, own = x.mean(0) - mean, n + len(x)
-            square += ((x - x.mean(0)) ** 2).sum(0) + step**2 * (n * len(x) / own)
-            mean, n = mean + step * (len(x) / own), own
+            every = features(*text_buffer(batch.column("text")))
+            for x in (every[a : a + 1000].astype(np.float64) for a in range(0, len(every), 1000)):
+                step, own = x.mean(0) - mean, n + len(x)
+                square += ((x - x.mean(0)) ** 2).sum(0) + step**2 * (n * len(x) / own)
+                mean, n = mean + step * (len(x) / own), own
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(range(N_FEATURES), pa.int32()), pa.array([n] * N_FEATURES, pa.int64()), pa.array(mean), pa.array(square)], names=["i", "n", "mean", "square"])
 

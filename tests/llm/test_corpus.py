@@ -416,6 +416,35 @@ def test_quality_risk_goes_down():
     assert all(risk(w, b) <= risk(w + d[:4], b + d[4]) + 2e-3 for d in noise.normal(0, 0.05, (50, 5)))
 
 
+def test_quality_learns_words():
+    """Junk that only its words tell: the same sentences with words of one kind among them."""
+    noise = random.Random(0)
+    weights = [1 / (i + 1) for i in range(3000)]
+    good = np.array([noise.random() < 0.85 for _ in range(3000)])
+
+    def text(ok):
+        words = noise.choices(range(3000), weights, k=noise.randrange(60, 400))
+        return " ".join(f"w{w if ok or noise.random() > 0.15 else 2000 + noise.randrange(60)}" for w in words)
+
+    x = quality.features(*quality.text_buffer(pa.array([text(ok) for ok in good])))
+    held = np.arange(3000) % 3 == 0
+    errors = []
+    for own in (x, x * (np.arange(x.shape[1]) < quality.N_STATS)):
+        model = quality.fit(own[~held & good], own[~held], float(good[~held].mean()))
+        errors.append(((model.score(own[held]) >= 0.5) != good[held]).sum())
+    assert errors[0] <= 20 and errors[0] < errors[1]
+
+
+def test_quality_word_shares():
+    texts = ["", None, "a b a", "\u4e2d " * 3, "...", "a " * 5000 + "b"] + [f"x{i}" for i in range(2100)]
+    x = quality.features(*quality.text_buffer(pa.array(texts, pa.string())))
+    assert x.shape == (len(texts), quality.N_FEATURES) and np.isfinite(x).all()
+    length = (x[:, quality.N_STATS :].astype(float) ** 2).sum(1)
+    assert (length[[0, 1, 4]] == 0).all() and np.allclose(np.delete(length, [0, 1, 4]), 1, atol=2e-3)
+    for i in (2, 5, 6, 1005, 2105):  # no row depends on those beside it
+        assert (quality.features(*quality.text_buffer(pa.array([texts[i]], pa.string())))[0] == x[i]).all()
+
+
 def test_quality(spark):
     noise = random.Random(1)
     good = lambda: " ".join(noise.choice("the of and house river walks slowly green".split()) for _ in range(40)) + "."
