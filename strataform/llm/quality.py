@@ -88,8 +88,12 @@ class Model:
     prior: float
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x[:, :N_STATS] - self.center[:N_STATS]) / self.scale[:N_STATS], -4, 4)
-        return np.concatenate([z, np.maximum(z - 1, 0), np.maximum(-1 - z, 0), WORD_WEIGHT * (x[:, N_STATS:] - self.center[N_STATS:])], axis=1, dtype=np.float32)
+        out = np.empty((len(x), _N_INPUTS), np.float32)
+        for a in range(0, len(x), 1000):
+            part = x[a : a + 1000]
+            z = np.clip((part[:, :N_STATS] - self.center[:N_STATS]) / self.scale[:N_STATS], -4, 4)
+            out[a : a + 1000] = np.concatenate([z, np.maximum(z - 1, 0), np.maximum(-1 - z, 0), WORD_WEIGHT * (part[:, N_STATS:] - self.center[N_STATS:])], axis=1)
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Each row summed by itself, so that equal texts get equal scores wherever they are."""
@@ -118,10 +122,12 @@ def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, decay: fl
 def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 400, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
     """The model for features of both samples, with the moments of all documents or else of the samples; no positives: a
     model that rejects nothing."""
-    both = np.concatenate([positives, unlabelled]).astype(np.float64)
     if not len(positives) or not len(unlabelled):
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(_N_INPUTS), 1.0, 1.0)
-    center, scale = moments or (both.mean(0), both.std(0))
+    if moments is None:
+        both = np.concatenate([positives, unlabelled]).astype(np.float64)
+        moments = both.mean(0), both.std(0)
+    center, scale = moments
     model = Model(center, np.maximum(scale, 1e-3), np.zeros(_N_INPUTS), 0.0, prior or 1.0)
     xp, xu = model.inputs(positives), model.inputs(unlabelled)
     if prior is None:
@@ -194,10 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Callable[[Column], Column
     # at most max_positives + max_unlabelled ids are broadcast
     chosen = cut_lineage(sample_p.unionByName(sample_u))
     x, kind = _collect_features(texts.join(F.broadcast(chosen), "_id"))
-    order = np.lexsort(np.concatenate([x.T, kind[None]])) if len(x) else np.zeros(0, np.int64)  # any order of rows gives one model
-    x, kind = x[order], kind[order]
-    some = (kind == 1).any() and (kind == 0).any()
-    return fit(x[kind == 1], x[kind == 0], prior, moments=feature_moments(texts) if some else None)
+    order = np.lexsort((*x.T, kind)) if len(x) else np.zeros(0, np.int64)  # any order of rows gives one model
+    p, u = (x[order[kind[order] == k]] for k in (1, 0))
+    some = len(p) and len(u)
+    del x  # samples of bounded size, but the driver holds them once
+    return fit(p, u, prior, moments=feature_moments(texts) if some else None)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
